@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = []
+_MODULES = ["site_lines"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
