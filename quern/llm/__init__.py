@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["site_lines"]
+_MODULES = ["site_lines", "encoding"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
