@@ -275,7 +275,7 @@ def _restore(run: str, scores: PairScores) -> tuple[str, str] | None:
             best = (left, text, names)
         if left <= 0.05 * before:
             break
-    if best and best[0] < 0.7 * before:
+    if best and best[0] < (before if _LOST not in best[1] else 0.7 * before):
         return best[1], best[2]
     if _CONTROLS.search(run):
         if all(ord(c) < 256 for c in run):
