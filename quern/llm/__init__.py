@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["site_lines", "encoding"]
+_MODULES = ["site_lines", "encoding", "content"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
