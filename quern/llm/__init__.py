@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["site_lines", "encoding", "content"]
+_MODULES = ["site_lines", "encoding", "content", "lang_id"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
