@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["site_lines", "encoding", "content", "lang_id", "value_map", "rank_flow"]
+_MODULES = ["site_lines", "encoding", "content", "lang_id", "value_map", "rank_flow", "packing"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
