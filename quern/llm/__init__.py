@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["site_lines", "encoding", "content", "lang_id", "value_map", "rank_flow", "packing"]
+_MODULES = ["site_lines", "encoding", "content", "lang_id", "value_map", "rank_flow", "packing", "mixing"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
