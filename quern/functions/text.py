@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = r"[\p{IsAlphabetic}\p{N}]+"
+WORD = r"[\p{L}\p{M}\p{N}]+"  # combining marks belong to the word
 
 #: Phrases of parked and placeholder pages.
 PARKED_MARKERS = [
