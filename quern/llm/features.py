@@ -1,13 +1,15 @@
-"""Features of page lines shared by main-content extraction, language labels and spam detection.
+"""Features of page lines shared by main-content extraction, language labels and keyword pages.
 
 Two passes over the texts, both in numpy. The first counts on how many pages of a site each wording
-stands and finds the site's name: the capitalised word pair that most of its repeated lines share. The
-second gives each line its features, knowing the name. What follows works on these narrow rows.
+stands, finds the site's name - the capitalised word pair that most of its repeated lines share - and
+counts the words of sentences by language. The second, knowing a site's name and repeated wordings and
+each language's common words, gives each line its flags and each page its paragraphs; what follows works
+on these narrow rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.urls import registrable_domain
+from quern.llm.languages import CODES, declared
 from quern.llm.linecode import U64, Lines, mix
 from quern.llm.pages import fetched, page_key
 from quern.session import stored
@@ -22,8 +25,7 @@ from quern.session import stored
 BATCH = 200
 PARAGRAPH = 80  # characters of a full paragraph
 HAS_NAME, LONG, ENDS, ELLIPSIS, TITLE, LINK, URLISH, TAG, SEPARATED, QUOTE = (1 << i for i in range(10))
-#: Most sites whose names and counts are sent to every task (about 60 bytes each).
-MAX_SITES = 200_000
+LOSSY = 0.01  # error of a word's share of pages that counting allows
 _SEPARATORS = np.array([ord(c) for c in "»›>|:–—•·/"], dtype=np.uint32)
 _STOPS = np.array([ord(c) for c in ".!?।॥。…"], dtype=np.uint32)
 _CLOSING = np.array([ord(c) for c in "\"'”’»)“"], dtype=np.uint32)
@@ -53,11 +55,61 @@ def word_pairs(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return w["line"][at], at, mix(w["hash"][at] * U64(3) + w["hash"][at + 1])
 
 
+class _WordPages:
+    """On how many pages a word stands, by language, over the rows of a task."""
+
+    def __init__(self):
+        self.total: dict[int, int] = {}
+        self.kept: list[np.ndarray] = []
+        self.held = 0
+
+    @staticmethod
+    def _merge(parts: list[np.ndarray]) -> np.ndarray:
+        keys = np.concatenate([p[:2] for p in parts], axis=1)
+        order = np.lexsort((keys[1], keys[0]))
+        n = np.concatenate([p[2] for p in parts])[order]
+        keys = keys[:, order]
+        new = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
+        return np.vstack([keys[:, new], np.add.reduceat(n, new)])
+
+    def add(self, lines: Lines, lang: np.ndarray, good: np.ndarray) -> None:
+        w = lines.words()
+        use = good[w["line"]] & ~w["number"] & (lang[lines.text_of[w["line"]]] >= 0) if len(w["line"]) else np.zeros(0, bool)
+        of, word = lines.text_of[w["line"][use]], w["hash"][use]
+        if not len(of):
+            return
+        # distinct words of each page
+        order = np.lexsort((word, of))
+        of, word = of[order], word[order]
+        new = np.concatenate(([True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])))
+        of, word = of[new], word[new]
+        for k, n in zip(*np.unique(lang[np.unique(of)], return_counts=True), strict=True):
+            self.total[int(k)] = self.total.get(int(k), 0) + int(n)
+        self.kept.append(self._merge([np.vstack([lang[of], word.view(np.int64), np.ones(len(of), np.int64)])]))
+        self.held += self.kept[-1].shape[1]
+        if self.held > 1_000_000:
+            self.kept = [self._merge(self.kept)]
+            self.held = self.kept[0].shape[1]
+
+    def rows(self) -> np.ndarray:
+        """(language, word, pages): words under LOSSY of the task's pages left out; word 0: all pages."""
+        if not self.kept:
+            return np.zeros((3, 0), np.int64)
+        got = self._merge(self.kept)
+        floor = np.array([self.total[int(k)] * LOSSY for k in got[0]])
+        ends = np.array([[k, 0, n] for k, n in self.total.items()], dtype=np.int64).T
+        return np.concatenate([got[:, got[2] > floor], ends], axis=1)
+
+
 def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = _WordPages()
     for pdf in batches:
         for start in range(0, len(pdf), BATCH):
             part = pdf.iloc[start : start + BATCH]
-            lines = Lines(part["body_text"].tolist())
+            # the title follows the text as its last line
+            lines = Lines([b + "\n" + t.replace("\n", " ") for b, t in zip(part["body_text"], part["title"], strict=True)])
+            title = np.append(lines.text_of[1:] != lines.text_of[:-1], True)
+            counts.add(lines, part["lang"].to_numpy().astype(np.int64), ((lines.length >= PARAGRAPH) & sentence_ends(lines)) | title)
             wkey, count = lines.letters()
             w = lines.words()
             line, at, pair = word_pairs(lines)
@@ -66,32 +118,44 @@ def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             line, pair = line[names], pair[names].view(np.int64)
             copyright_ = np.zeros(lines.n, bool)
             copyright_[lines.line_of[np.flatnonzero(lines.flat == 0xA9)]] = True
-            keep = np.flatnonzero(count > 0)
+            keep = np.flatnonzero((count > 0) & ~title)
             lo, hi = np.searchsorted(line, keep, "left"), np.searchsorted(line, keep, "right")
             of = lines.text_of[keep]
             yield pd.DataFrame({
-                "skey": part["skey"].to_numpy()[of], "pkey": part["pkey"].to_numpy()[of], "wkey": wkey[keep].view(np.int64),
-                "names": [np.unique(pair[a:b]) for a, b in zip(lo, hi, strict=True)], "notice": copyright_[keep],
+                "kind": np.int32(0), "skey": part["skey"].to_numpy()[of], "pkey": part["pkey"].to_numpy()[of], "wkey": wkey[keep].view(np.int64),
+                "names": [pair[a:b] for a, b in zip(lo, hi, strict=True)], "notice": copyright_[keep],
             })
+    got = counts.rows()
+    if got.shape[1]:
+        yield pd.DataFrame({"kind": np.int32(1), "skey": got[0], "pkey": got[2], "wkey": got[1], "names": [np.zeros(0, np.int64)] * got.shape[1], "notice": False})
+
 
+def first_pass(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sites, wordings, words): (skey, pages, name), (skey, wkey, df) and (lang, word, n), stored.
 
-def site_statistics(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sites, wordings): (skey, pages, name) and (skey, wkey, df), both stored."""
-    rows = site_pages(pages)
-    found = rows.select("skey", "pkey", "body_text").mapInPandas(_first, "skey bigint, pkey bigint, wkey bigint, names array<bigint>, notice boolean")
-    per = found.groupBy("skey", "wkey", "pkey").agg(F.first("names").alias("names"), F.max("notice").alias("notice"))
-    words = stored(per.groupBy("skey", "wkey").agg(F.count(F.lit(1)).alias("df"), F.first("names").alias("names"), F.max("notice").alias("notice")))
+    In ``words`` word 0 stands for all pages of the language.
+    """
+    names_of = declared(F.col("lang"))
+    code = F.when(F.size(names_of) == 1, F.coalesce(F.array_position(F.array(*map(F.lit, CODES)), names_of[0]).cast("int") - 1, F.lit(-1))).otherwise(-1)
+    rows = site_pages(pages, "lang").withColumn("lang", code)
+    found = rows.select("skey", "pkey", "lang", "title", "body_text").mapInPandas(_first, "kind int, skey bigint, pkey bigint, wkey bigint, names array<bigint>, notice boolean")
+    # one row a wording and page; the words' partial counts pass through the same exchange
+    per = found.groupBy("kind", "skey", "wkey", "pkey").agg(F.count(F.lit(1)).alias("c"), F.first("names").alias("names"), F.max("notice").alias("notice"))
+    n = F.when(F.col("kind") == 0, F.lit(1)).otherwise(F.col("pkey") * F.col("c"))
+    words = stored(per.groupBy("kind", "skey", "wkey").agg(F.sum(n).alias("df"), F.first("names").alias("names"), F.max("notice").alias("notice")))
+    site_words = words.where("kind = 0")
     # repeated lines count most; where a site has few pages, the pair that most of its short lines share
     again = F.when(F.col("notice"), 3).when(F.col("df") >= 2, 1).otherwise(0)
     votes = (
-        words.where(F.size("names") > 0)
+        site_words.where(F.size("names") > 0)
         .select("skey", F.explode("names").alias("name"), again.alias("v"), "df")
         .groupBy("skey", "name").agg(F.struct(F.sum("v").alias("again"), F.count(F.lit(1)).alias("lines"), F.sum("df").alias("places")).alias("v"))
         .where((F.col("v.again") >= 2) | ((F.col("v.lines") >= 3) & (F.col("v.places") >= 4)))
         .groupBy("skey").agg(F.max(F.struct("v", "name"))["name"].alias("name"))
     )
     counts = rows.select("skey", "pkey").distinct().groupBy("skey").agg(F.count(F.lit(1)).alias("pages"))
-    return stored(counts.join(votes, "skey", "left")), words.select("skey", "wkey", "df")
+    sites = stored(counts.join(votes, "skey", "left"))
+    return sites, site_words.select("skey", "wkey", "df"), words.where("kind = 1").select(F.col("skey").cast("int").alias("lang"), F.col("wkey").alias("word"), F.col("df").alias("n"))
 
 
 def sentence_ends(lines: Lines) -> np.ndarray:
@@ -117,7 +181,7 @@ def line_features(lines: Lines, titles: list[str], names: np.ndarray, links: lis
     first = lines.flat[np.minimum(lines.first, len(lines.flat) - 1)]
     flags[sentence_ends(lines)] |= ENDS
     flags[inked & (last == 0x2026)] |= ELLIPSIS
-    flags[inked & np.isin(first, np.array([ord(c) for c in "“\"„«‘'"], dtype=np.uint32))] |= QUOTE
+    flags[inked & np.isin(first, np.array([ord(c) for c in "“\"„‘'"], dtype=np.uint32))] |= QUOTE
     tag = inked & np.isin(first, _TAGS)
     # text before the first separator that follows a letter
     sep = np.flatnonzero(np.isin(lines.flat, _SEPARATORS))
@@ -151,44 +215,3 @@ def line_features(lines: Lines, titles: list[str], names: np.ndarray, links: lis
         flags[(letters >= 3) & np.isin(mix(wkey + mix(lines.text_of.astype(U64))), pool)] |= LINK
     flags[tag] |= TAG
     return {"wkey": wkey, "letters": letters, "prekey": prekey, "path": lines.outline(), "flags": flags, "words": words}
-
-
-SCHEMA = "skey bigint, pkey bigint, line_no int, wkey bigint, prekey bigint, path bigint, flags int, words int"
-
-
-def features_pass(pages: DataFrame, sites: DataFrame, links: bool = False, extra: Callable | None = None, extra_schema: str = "") -> DataFrame:
-    """Features of each non-blank line of the fetched pages.
-
-    ``extra(lines, chosen)`` adds columns for the chosen line numbers, whose types ``extra_schema`` gives.
-    """
-    rows = site_pages(pages, *(["links"] if links else []))
-    names = sites.select("skey", "name")
-    if sites.limit(MAX_SITES + 1).count() <= MAX_SITES:
-        rows = rows.join(F.broadcast(names), "skey", "left")
-    else:
-        rows = rows.join(names, "skey", "left")  # AQE splits the largest site's part
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), BATCH):
-                part = pdf.iloc[start : start + BATCH]
-                lines = Lines(part["body_text"].tolist())
-                name = part["name"].fillna(0).to_numpy().astype(np.int64).view(U64)
-                f = line_features(lines, part["title"].tolist(), name, part["links"].tolist() if links else None)
-                keep = np.flatnonzero(lines.inked > 0)
-                of = lines.text_of[keep]
-                out = {
-                    "page_id": part["page_id"].to_numpy()[of], "skey": part["skey"].to_numpy()[of], "pkey": part["pkey"].to_numpy()[of], "line_no": lines.line_no[keep].astype(np.int32),
-                    **{k: f[k][keep].view(np.int64) for k in ("wkey", "prekey", "path")},
-                    "flags": f["flags"][keep].astype(np.int32), "words": f["words"][keep].astype(np.int32),
-                }
-                if extra is not None:
-                    out |= extra(lines, keep)
-                yield pd.DataFrame(out)
-
-    columns = rows.select("page_id", "skey", "pkey", "title", "name", *(["links"] if links else []), "body_text")
-    if not any(x.name == "name" and x.dataType.simpleString() == "bigint" for x in columns.schema):
-        columns = columns.withColumn("name", F.col("name").cast("bigint"))
-    columns = columns.withColumn("name", F.coalesce("name", F.lit(0).cast("long")))
-    return columns.mapInPandas(second, f"page_id {kind}, {SCHEMA}" + (f", {extra_schema}" if extra_schema else ""))
