@@ -47,7 +47,7 @@ def geohash(spark, sf_dir):
 def radius_join(spark, sf_dir):
     """POIs within 5 km of each city and town of the gazetteer, with distance decay."""
     g = read_table(spark, sf_dir, "place_gazetteer").where(F.col("kind").isin("city", "town") & usable_position(F.col("lat"), F.col("lon")))
-    q = g.groupBy("name", "kind", "lat", "lon").count().select(F.concat_ws("|", "name", "kind", F.round("lat", 5), F.round("lon", 5)).alias("query_id"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.lit(5000.0).alias("radius_m"), F.lit(geo.precision_for_radius(5000.0, 20.0)).alias("precision"))
+    q = g.groupBy("name", "kind", "lat", "lon").count().select(F.concat_ws("|", "name", "kind", F.floor(F.col("lat") * 1000), F.floor(F.col("lon") * 1000)).alias("query_id"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.lit(5000.0).alias("radius_m"), F.lit(geo.precision_for_radius(5000.0, 20.0)).alias("precision"))
     found = places.within_radius(_placed(spark, sf_dir), q, [geo.precision_for_radius(5000.0, 20.0)])
     return found.select("query_id", "id", F.round("distance_m", 3).alias("distance_m"), F.round(geo.distance_decay(F.col("distance_m"), F.lit(2000.0)), 6).alias("decay"))
 
@@ -179,7 +179,7 @@ SELECT id, {_hash(9)} AS g9, {_hash(5)} AS g5,
  round(-180 + (CAST(least(8191, greatest(0, ceil((lon + 180.0) / 360.0 * 8192) - 1)) AS BIGINT) + 0.5) * 360.0 / 8192, 6) AS centre_lon, substr({_hash(5)}, 1, 4) AS p4 FROM p""",
     "radius_join": f"""WITH p AS (SELECT DISTINCT id, lat, lon FROM poi WHERE {_OK}),
 g AS (SELECT DISTINCT name, kind, lat, lon FROM place_gazetteer WHERE kind IN ('city', 'town') AND {_OK}),
-d AS (SELECT concat_ws('|', name, kind, CAST(round(g.lat, 5) AS VARCHAR), CAST(round(g.lon, 5) AS VARCHAR)) AS query_id, p.id, {_dist('g.lat', 'g.lon', 'p.lat', 'p.lon')} AS d FROM g JOIN p ON abs(g.lat - p.lat) < 0.05)
+d AS (SELECT concat_ws('|', name, kind, CAST(CAST(floor(g.lat * 1000) AS BIGINT) AS VARCHAR), CAST(CAST(floor(g.lon * 1000) AS BIGINT) AS VARCHAR)) AS query_id, p.id, {_dist('g.lat', 'g.lon', 'p.lat', 'p.lon')} AS d FROM g JOIN p ON abs(g.lat - p.lat) < 0.05)
 SELECT query_id, id, round(d, 3) AS distance_m, round(exp(-d / 2000.0), 6) AS decay FROM d WHERE d <= 5000""",
     "category_groups": f"SELECT category, {_GROUP} AS grp, count(DISTINCT id) AS pois FROM poi GROUP BY ALL",
     "categorise_tags": f"WITH {_LATEST} SELECT id, coalesce(nullif(coalesce(category, 'yes'), 'yes'), nullif(coalesce(poi_group, 'yes'), 'yes')) AS derived FROM latest",
