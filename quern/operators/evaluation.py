@@ -72,3 +72,21 @@ def latency_report(times: DataFrame, column: str) -> DataFrame:
     j = placed.crossJoin(F.broadcast(n))  # one row
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col("v")))
     return j.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), at(0.5).alias("median"), at(0.9).alias("p90"))
+
+
+def local_suite(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """(expect, cases, passed): how many local queries behave as expected.
+
+    ``cases``: query_id, q, expect (local, place, named or decline); ``results``: query_id, name, brand, place,
+    kind, rank. local: something is found; place: the place is resolved too; named: a word of the query over
+    two characters stands in a name or brand; decline: nothing is found, or the place is a country or state.
+    """
+    words = F.filter(F.split(F.lower("q"), r"[^\p{L}\p{M}\p{N}]+"), lambda w: (F.length(w) > 2) & ~w.isin("near", "nearest", "closest", "the"))
+    j = cases.withColumn("ws", words).join(results, "query_id", "left")
+    hay = F.lower(F.concat_ws(" ", "name", "brand"))
+    per = j.groupBy("query_id", "expect").agg(
+        F.count("rank").alias("n"), F.max("place").alias("place"), F.max(F.col("kind").isin("country", "state")).alias("broad"), F.max(F.exists("ws", lambda w: F.contains(hay, w))).alias("named")
+    )
+    some = F.col("n") > 0
+    ok = F.when(F.col("expect") == "decline", ~some | F.coalesce("broad", F.lit(False))).when(F.col("expect") == "place", some & F.col("place").isNotNull()).when(F.col("expect") == "named", some & F.coalesce("named", F.lit(False))).otherwise(some)
+    return per.groupBy("expect").agg(F.count(F.lit(1)).alias("cases"), F.sum(ok.cast("long")).alias("passed"))

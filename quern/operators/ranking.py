@@ -170,3 +170,33 @@ def snippet(body: Column, words: Column, width: int = 30, chars: int = 180) -> C
     best = F.array_max(scored)
     marked = F.transform(F.slice(ws, -best["s"], width), lambda w: F.when(F.array_contains(words, F.lower(F.regexp_replace(w, r"[^\p{L}\p{M}\p{N}]", ""))), F.concat(F.lit("<b>"), escape(w), F.lit("</b>"))).otherwise(escape(w)))
     return F.when(best["h"] > 0, F.array_join(marked, " ")).otherwise(escape(F.substring(F.coalesce(body, F.lit("")), 1, chars)))
+
+
+def parse_query(text: str) -> dict[str, list]:
+    """Parts of a query as typed: required (+), excluded (-) and plain words, and "phrases" as word lists."""
+    import re
+
+    out: dict[str, list] = {"must": [], "must_not": [], "should": [], "phrases": []}
+    for sign, phrase, word in re.findall(r'([+-]?)(?:"([^"]*)"|(\S+))', text):
+        words = [w.lower() for w in re.findall(r"[^\W_]+", phrase or word)]
+        if not words or (not phrase and word in ("AND", "OR", "NOT")):
+            continue
+        if phrase:
+            out["phrases"].append(words)
+        else:
+            out[{"+": "must", "-": "must_not"}.get(sign, "should")] += words
+    return out
+
+
+def boolean_hits(postings: DataFrame, query: dict[str, list], field: str = "body") -> DataFrame:
+    """(doc): documents with all required words and phrases, none of the excluded, and, where nothing is required, any plain word."""
+    p = postings.where(F.col("field") == field)
+    spark = postings.sparkSession
+    docs = lambda words: p.where(F.col("term").isin(words)).groupBy("doc").agg(F.countDistinct("term").alias("n"))
+    base = docs(query["must"]).where(F.col("n") == len(set(query["must"]))).select("doc") if query["must"] else None
+    for words in query["phrases"]:
+        hit = phrase_hits(postings, spark.createDataFrame([(0, words)], "query_id int, words array<string>"), field).select("doc")
+        base = hit if base is None else base.join(hit, "doc", "left_semi")
+    if base is None:
+        base = docs(query["should"]).select("doc") if query["should"] else p.select("doc").limit(0)
+    return base.join(docs(query["must_not"]).select("doc"), "doc", "left_anti") if query["must_not"] else base

@@ -291,3 +291,133 @@ def parse_plan(reply: Column) -> Column:
     whole = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), f"struct<start_url:string,steps:array<{step}>>")
     bare = F.from_json(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), f"array<{step}>")
     return F.when(F.size(whole["steps"]) > 0, whole).when(F.size(bare) > 0, F.struct(F.lit(None).cast("string").alias("start_url"), bare.alias("steps")))
+
+
+# ---- suffixes, site seeking, platforms, controls on a page
+
+#: General suffixes, the fallback country, and countries whose sites stand below second-level names.
+GENERAL_SUFFIXES = ["com", "org", "net", "edu"]
+DEFAULT_COUNTRY, MIN_STEERING_POPULATION = "in", 50_000
+SUFFIXES = {
+    "in": ["in", "co.in", "ac.in", "edu.in", "org.in", "res.in"], "gb": ["co.uk", "org.uk", "ac.uk", "uk"], "uk": ["co.uk", "org.uk", "ac.uk", "uk"],
+    "us": ["us", "edu"], "au": ["com.au", "org.au", "edu.au"], "br": ["com.br", "br"], "jp": ["jp", "co.jp", "ac.jp"], "ru": ["ru", "su"],
+    "za": ["co.za", "za"], "ng": ["ng", "com.ng", "edu.ng"], "nz": ["co.nz", "org.nz", "ac.nz"], "cn": ["cn", "com.cn", "edu.cn"],
+    "kr": ["kr", "co.kr", "ac.kr"], "id": ["id", "co.id", "ac.id"], "pk": ["pk", "com.pk", "edu.pk"], "bd": ["bd", "com.bd", "edu.bd"],
+    "lk": ["lk", "com.lk"], "np": ["np", "com.np", "edu.np"],
+}
+#: Fixed values: (min_lat, max_lat, min_lon, max_lon, country) for places without a country; the first that holds counts.
+COUNTRY_BOXES = [(6.0, 36.0, 68.0, 98.0, "in"), (41.0, 78.0, 19.0, 180.0, "ru"), (49.5, 61.0, -8.5, 2.0, "gb"), (-45.0, -10.0, 112.0, 154.0, "au"), (24.0, 50.0, -125.0, -66.0, "us")]
+#: Platforms whose pages about something are not its own site.
+PLATFORMS = [
+    "instagram.com", "facebook.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "youtu.be", "tiktok.com", "pinterest.com", "reddit.com",
+    "wikipedia.org", "wikiwand.com", "fandom.com", "justdial.com", "indiamart.com", "sulekha.com", "yelp.com", "pissedconsumer.com",
+    "complaintsboard.com", "trustpilot.com", "consumercomplaints.in", "mouthshut.com", "sitejabber.com", "collegedunia.com", "shiksha.com",
+    "careers360.com", "getmyuni.com", "liveonlineradio.net", "radioguide.fm", "onlineradiobox.com",
+]
+PLATFORM_WEIGHT, OWN_SITE_WEIGHT = 0.6, 1.25
+#: Weights of the elements whose text may name a control.
+CONTROL_WEIGHTS = {"a": 1.0, "button": 1.0, "summary": 1.0, "label": 0.95, "h1": 0.9, "h2": 0.9, "h3": 0.8, "h4": 0.8}
+
+
+def country_for(lat: Column, lon: Column) -> Column:
+    """Country of a position by coarse boxes; NULL outside them."""
+    out = F.lit(None).cast("string")
+    for a, b, c, d, cc in reversed(COUNTRY_BOXES):
+        out = F.when(lat.between(a, b) & lon.between(c, d), cc).otherwise(out)
+    return out
+
+
+def suffixes_for(country: Column) -> Column:
+    """Suffixes of a country: listed ones, else its code if that is two letters; none otherwise."""
+    table = F.create_map(*(x for k, v in SUFFIXES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return F.coalesce(table[country], F.when(country.rlike("^[a-z]{2}$"), F.array(country)), F.array().cast("array<string>"))
+
+
+def query_suffixes(queries: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(query_id, suffixes): general suffixes, then those of the country of the most populous place a query names.
+
+    Places under 50 000 people do not steer; without one the fallback country counts. Equal populations go by country.
+    """
+    words = queries.select("query_id", F.explode(F.filter("tokens", lambda t: t["kind"] == "Place")).alias("t")).select("query_id", F.col("t.text").alias("key"))
+    g = gazetteer.where(F.col("kind").isin(PLACE_KINDS) & (F.col("population") >= MIN_STEERING_POPULATION))
+    g = g.select(F.lower("name").alias("key"), "population", F.coalesce(F.nullif(F.lower("country"), F.lit("")), country_for(F.col("lat"), F.col("lon"))).alias("cc")).where("cc IS NOT NULL")
+    best = words.join(g, "key").groupBy("query_id").agg(F.max(F.struct("population", "cc"))["cc"].alias("cc"))
+    out = queries.select("query_id").join(best, "query_id", "left")
+    return out.select("query_id", F.array_distinct(F.concat(F.array(*map(F.lit, GENERAL_SUFFIXES)), suffixes_for(F.coalesce("cc", F.lit(DEFAULT_COUNTRY))))).alias("suffixes"))
+
+
+def site_seeking(tokens: Column, entity_name: Column) -> Column:
+    """Is a site sought, not a page of one? With an entity's name: no distinctive word is outside it; without: a word names an organisation."""
+    name = word_set(entity_name)
+    outside = F.exists(tokens, lambda t: (t["kind"] == "Distinctive") & ~F.arrays_overlap(t["forms"], name))
+    return F.when(entity_name.isNull(), F.exists(tokens, lambda t: t["text"].isin(ORGANISATION))).otherwise(~outside)
+
+
+def platform_weight(url: Column) -> Column:
+    return F.when(registrable_domain(url).isin(PLATFORMS), PLATFORM_WEIGHT).otherwise(1.0)
+
+
+def own_site_weight(url: Column, domains: Column) -> Column:
+    return F.when(F.array_contains(domains, registrable_domain(url)), OWN_SITE_WEIGHT).otherwise(1.0)
+
+
+def answer_score(match: Column, name_score: Column, own: Column, depth: Column, platform: Column) -> Column:
+    """match (0.85 + 0.15 name) times the weights, at most 1."""
+    return F.least(F.lit(1.0), match * (0.85 + 0.15 * name_score) * own * depth * platform)
+
+
+def control_words(tokens: Column, host: Column, entity_name: Column) -> Column:
+    """Tokens that say what is wanted on a site: not its name, place or kind of organisation."""
+    h, n = F.lower(F.coalesce(host, F.lit(""))), F.lower(F.coalesce(entity_name, F.lit("")))
+    return F.filter(tokens, lambda t: t["kind"].isin("Distinctive", "Generic") & ~t["text"].isin(ORGANISATION) & ~F.exists(t["forms"], lambda f: F.contains(h, f) | F.contains(n, f)))
+
+
+def control_labels(pages: DataFrame) -> DataFrame:
+    """(url, label, weight): distinct texts of 3 to 60 characters of links, buttons, labels and headings of (url, html)."""
+    from quern.sources.web import HTMLParser
+
+    class Labels(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open: list[tuple[str, float, list[str]]] = []
+            self.found: dict[str, float] = {}
+
+        def handle_starttag(self, tag, attrs):
+            weight = CONTROL_WEIGHTS.get(tag, 1.0 if dict(attrs).get("role") in ("button", "tab", "menuitem", "link") else None)
+            if weight is not None:
+                self.open.append((tag, weight, []))
+
+        def handle_data(self, data):
+            for *_, parts in self.open:
+                parts.append(data)
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+            if at is not None:
+                _, weight, parts = self.open.pop(at)
+                text = " ".join("".join(parts).split())
+                if 3 <= len(text) <= 60 and not text.endswith("."):
+                    self.found[text] = max(weight, self.found.get(text, 0.0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for url, html in zip(pdf["url"], pdf["html"], strict=True):
+                p = Labels()
+                p.feed(html or "")
+                rows += [(url, k, v) for k, v in p.found.items()]
+            yield pd.DataFrame(rows, columns=["url", "label", "weight"])
+
+    return pages.select("url", "html").mapInPandas(run, "url string, label string, weight double")
+
+
+def highlights(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """(query_id, url, label, score, fragment): the control of a page that a query wants.
+
+    ``wanted``: query_id, url, words (tokens); ``pages``: url, html. Scores of 0.5 or less are none; equal
+    ones go by label.
+    """
+    j = control_labels(pages).join(wanted, "url").withColumn("score", F.round(label_score(F.col("words"), F.col("label")) * F.col("weight"), 6)).where("score > 0.5")
+    by = Window.partitionBy("query_id", "url").orderBy(F.col("score").desc(), "label")
+    top = j.withColumn("r", F.row_number().over(by)).where("r = 1")
+    return top.select("query_id", "url", "label", "score", fragment_url(F.col("url"), F.col("label")).alias("fragment"))

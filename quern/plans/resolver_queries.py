@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.text import quality_score
-from quern.operators import resolver
+from quern.operators import ranking, resolver
 from quern.operators.signals import latest_pages
 from quern.session import read_table
 
@@ -101,10 +101,34 @@ def interleave_sources(spark, sf_dir):
     return resolver.interleaved(s.withColumn("rank", by(F.col("s_acctbal").desc())), s.withColumn("rank", by(F.col("s_acctbal"))))
 
 
+def query_suffixes(spark, sf_dir):
+    """Suffixes by the country of the most populous place of the gazetteer that a query names."""
+    g = read_table(spark, sf_dir, "place_gazetteer")
+    named = g.select("name").where("name IS NOT NULL").distinct().select(F.col("name").alias("query_id"), F.lower("name").alias("q"))
+    tokens = F.array(F.struct(F.col("q").alias("text"), F.array("q").alias("forms"), F.lit("Place").alias("kind")))
+    return resolver.query_suffixes(named.select("query_id", tokens.alias("tokens")), g).select("query_id", F.array_join("suffixes", " ").alias("suffixes"))
+
+
+def control_highlights(spark, sf_dir):
+    """Links of each page as controls, found again by the words of their own text."""
+    p = latest_pages(read_table(spark, sf_dir, "crawled_pages")).where(F.size("links") > 0)
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.array_join(F.transform("links", lambda x: F.concat(F.lit("<a href='/x'>"), esc(F.coalesce(x["text"], F.lit(""))), F.lit("</a>"))), " ")
+    wanted = p.select(F.col("page_id").alias("query_id"), "url", resolver.tokens_of(F.get("links", F.lit(0))["text"], F.array().cast("array<string>")).alias("words"))
+    return resolver.highlights(wanted, p.select("url", html.alias("html")))
+
+
+def boolean_query(spark, sf_dir):
+    """Pages with a required word and a phrase but not an excluded word."""
+    docs = latest_pages(read_table(spark, sf_dir, "crawled_pages")).select(F.col("url").alias("doc"), F.lit("").alias("title"), F.lit("").alias("anchor"), F.lit("").alias("url"), F.col("body_text").alias("body"))
+    postings, _ = ranking.build_index(docs, False)
+    return ranking.boolean_hits(postings, ranking.parse_query('+bridge "the railway gate" -clinic')).select(F.col("doc").alias("url"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        query_tokens, query_splits, hostname_candidates, host_probe_plan, match_scores, resolved_answers, name_match_rank, subpage_rank, front_doors, interleave_sources,
+        query_suffixes, control_highlights, boolean_query, query_tokens, query_splits, hostname_candidates, host_probe_plan, match_scores, resolved_answers, name_match_rank, subpage_rank, front_doors, interleave_sources,
     )
 }
 QUERIES["resolver_front_doors"] = QUERIES.pop("front_doors")
@@ -132,7 +156,18 @@ def _set(c: str) -> str:
 _H = r"regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\s]+)', 1), '^(www\.)+', '')"
 _P = r"regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)"
 
+_SUFFIX = "CASE cc " + " ".join(f"WHEN '{k}' THEN '{' '.join(v)}'" for k, v in resolver.SUFFIXES.items()) + " ELSE CASE WHEN regexp_full_match(cc, '[a-z]{2}') THEN cc ELSE '' END END"
+_BOXES = "CASE " + " ".join(f"WHEN lat BETWEEN {a} AND {b} AND lon BETWEEN {c} AND {d} THEN '{cc}'" for a, b, c, d, cc in resolver.COUNTRY_BOXES) + " END"
+
 ORACLE = {
+    "query_suffixes": f"""WITH g AS (SELECT lower(name) AS key, population, coalesce(nullif(lower(country), ''), {_BOXES}) AS cc FROM place_gazetteer WHERE kind IN ({_list(resolver.PLACE_KINDS)}) AND population >= 50000),
+b AS (SELECT key, cc FROM g WHERE cc IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY population DESC, cc DESC) = 1),
+n AS (SELECT DISTINCT name AS query_id, lower(name) AS key FROM place_gazetteer WHERE name IS NOT NULL), j AS (SELECT query_id, coalesce(cc, 'in') AS cc FROM n LEFT JOIN b USING (key)),
+x AS (SELECT query_id, {_SUFFIX} AS s FROM j)
+SELECT query_id, 'com org net edu' || CASE WHEN s = '' THEN '' ELSE ' ' || array_to_string(list_filter(string_split(s, ' '), lambda z: z <> 'edu'), ' ') END AS suffixes FROM x""",
+    "boolean_query": rf"""WITH latest AS (SELECT * FROM crawled_pages WHERE status = 200 AND url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY crawled_at_unix DESC NULLS LAST, page_id DESC NULLS LAST) = 1),
+w AS (SELECT url, list_filter(regexp_extract_all(lower(coalesce(body_text, '')), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: strlen(w) <= 40) AS t FROM latest)
+SELECT url FROM w WHERE list_contains(t, 'bridge') AND NOT list_contains(t, 'clinic') AND contains(' ' || array_to_string(t, ' ') || ' ', ' the railway gate ')""",
     "query_tokens": f"""WITH {_ROWS}, x AS (SELECT query_id, unnest(ws) AS w, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS i FROM (SELECT query_id, {_words('q')} AS ws FROM t))
 SELECT query_id, i, w AS text, {_KIND} AS kind, array_to_string({_FORMS}, ' ') AS forms FROM x""",
     "query_splits": f"""WITH {_ROWS}, u AS (SELECT query_id, list_filter({_words('q')}, lambda w: w NOT IN ({_list(resolver.STOP)})) AS w FROM t),
