@@ -176,4 +176,59 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_unmatched": p6_unmatched}
-ORACLE: dict[str, str] = {}
+
+
+def _sql_fold(text: str) -> str:
+    t = f"regexp_replace(lower({text}), '[\u0300-\u036f]', '', 'g')"
+    t = f"regexp_replace({t}, '[''’]s\\b|[''’.®™]', '', 'g')"
+    t = f"regexp_replace({t}, '&', ' and ', 'g')"
+    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')"
+    return f"translate(trim({t}), '{_FROM}', '{_TO}')"
+
+
+def _sql_list(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+_PLAIN_TRADES = [t.translate(str.maketrans(_FROM, _TO)) for t in OTHER_TRADES]
+ORACLE = {
+    # every run of words against every form, without segments
+    "p6_found": f"""
+WITH names AS (
+  SELECT brand_id, lower(brand_category) AS category, unnest(list_concat([brand_name], coalesce(aliases, []))) AS name FROM brand_list),
+w AS (SELECT brand_id, category, string_split({_sql_fold('name')}, ' ') AS w FROM names),
+h AS (SELECT *, CASE WHEN len(w) > 3 AND w[2] = 'and' THEN 3 ELSE 1 END AS h FROM w),
+f AS (
+  SELECT brand_id, category, array_to_string(w, '') AS form, 0 AS kind FROM h
+  UNION SELECT brand_id, category, array_to_string(w[h + 1:], '') || array_to_string(w[1:h], ''), 0 FROM h WHERE len(w) > h
+  UNION SELECT brand_id, category, array_to_string(w[1:h], ''), 1 FROM h WHERE len(w) > h),
+forms AS (
+  SELECT *, length(form) AS n, least(CASE WHEN length(form) >= 9 THEN 2 WHEN length(form) >= 6 THEN 1 ELSE 0 END, CASE WHEN kind = 1 THEN 1 ELSE 2 END) AS k FROM f WHERE length(form) >= 3),
+house AS (SELECT DISTINCT string_split({_sql_fold('brand_name')}, ' ')[1] AS t FROM brand_list),
+trade AS (
+  SELECT t FROM (SELECT DISTINCT unnest(string_split({_sql_fold('brand_name')}, ' ')) AS t FROM brand_list) WHERE t <> 'and' AND t NOT IN (SELECT t FROM house)
+  UNION SELECT unnest([{_sql_list(_PLAIN_TRADES)}])),
+given AS (SELECT id, brand, name, lower(category) AS category, coalesce(trim(replace(brand, chr(160), ' ')), '') AS g FROM poi WHERE id IS NOT NULL),
+rows AS (
+  SELECT DISTINCT id, CASE WHEN lower(g) IN ({_sql_list(NO_VALUE)}) THEN name ELSE brand END AS value, category, lower(g) NOT IN ({_sql_list(NO_VALUE)}) AS strict FROM given),
+vals AS (SELECT DISTINCT value FROM rows WHERE value IS NOT NULL),
+split AS (SELECT value, unnest(ps) AS text, generate_subscripts(ps, 1) AS part FROM (SELECT value, regexp_split_to_array(value, '[;|]|\\s/\\s|/') AS ps FROM vals)),
+parts AS (
+  SELECT value, part, string_split(folded, ' ') AS words FROM (SELECT value, part, {_sql_fold('text')} AS folded, trim(lower(text)) AS plain FROM split)
+  WHERE plain NOT IN ({_sql_list(NO_VALUE)}) AND trim(folded) <> ''),
+runs AS (
+  SELECT value, part, words, i, m, array_to_string(words[i:i + m - 1], '') AS text
+  FROM (SELECT value, part, words, unnest(range(1, len(words) + 1)) AS i FROM parts), range(1, {MAX_WORDS + 1}) r(m) WHERE i + m - 1 <= len(words)),
+texts AS (SELECT DISTINCT text, length(text) AS n FROM runs WHERE length(text) >= 3),
+near AS (SELECT text, brand_id, category, kind, f.n AS n, levenshtein(text, form) AS d FROM texts t JOIN forms f ON abs(t.n - f.n) <= f.k WHERE levenshtein(text, form) <= f.k),
+found AS (
+  SELECT value, part, brand_id, near.category AS rc, kind, d, near.n AS n FROM runs JOIN near USING (text), (SELECT list(t) AS ts FROM trade)
+  WHERE kind = 0 OR len(list_intersect(list_concat(words[1:i - 1], words[i + m:]), ts)) = 0),
+best AS (
+  SELECT DISTINCT g.value, part, g.category, first_value(brand_id) OVER (PARTITION BY g.value, part, g.category ORDER BY kind, d, n DESC, CASE WHEN rc = g.category THEN 0 ELSE 1 END, brand_id) AS brand_id
+  FROM (SELECT DISTINCT value, category FROM rows) g JOIN found USING (value)),
+missing AS (SELECT DISTINCT value FROM parts p WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.value = p.value AND b.part = p.part))
+SELECT id, brand_id FROM rows r JOIN best b ON b.value = r.value AND b.category IS NOT DISTINCT FROM r.category
+UNION SELECT id, -1 FROM rows JOIN missing USING (value) WHERE strict
+""",
+}
