@@ -9,8 +9,9 @@ blocks whose outlines won.
 
 Keyword pages. Common sentence words of each language are found from all pages. Blocks that lack them
 and did not win as content, addresses, tags and bare link texts are keyword blocks; a page with at least
-half of its words there, or whose words or word pairs repeat beyond the threshold of its language
-without sentences, is named.
+half of its words there is named. Sentences count with them as far as they are stuffing: where the
+page's top word and its repeated word pairs, its repeated lines, separated lists or link texts take a
+share of its words beyond the threshold of its language, which is taken from all pages.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.features import BATCH, ELLIPSIS, ENDS, HAS_NAME, LINK, LONG, LOSSY, QUOTE, SEPARATED, TAG, TITLE, URLISH, first_pass, line_features, sentence_ends, site_pages
+from quern.llm.features import BATCH, ELLIPSIS, ENDS, HAS_NAME, LINK, LONG, LOSSY, QUOTE, SEPARATED, TAG, TITLE, URLISH, first_pass, line_features, sentence_ends, site_pages, word_pairs
 from quern.llm.languages import CODES
-from quern.llm.linecode import U64, Lines
+from quern.llm.linecode import U64, Lines, mix
 from quern.llm.pages import SALTS
 from quern.session import bounded_broadcast, read_table, stored
 
@@ -38,6 +39,11 @@ COMMON = 0.10  # share of a language's pages from which a word is common
 CALIBRATE = 0.4  # part of a language's median share of common words that makes a block a sentence
 SAMPLE_PAGES = 100  # pages a language on which that median is taken
 SPAM = 0.5
+LISTING = np.array([ord(c) for c in ",;|·•»›>/،、—–"], dtype=np.uint32)
+#: Shares of a page's words, and the least threshold of each: its top word, repeated word pairs, repeated lines, separated lists, link texts.
+MEASURES = {"top": 0.10, "paired": 0.30, "again": 0.30, "listed": 0.30, "linked": 0.50}
+MEASURED = 20  # words from which a page's shares say something
+LIST_WORDS = 3  # a line with a separator for so many words or fewer is a list
 MAX_ROWS = 400_000  # most rows of a small table that are sent to every task; larger ones are joined by shuffling
 
 
@@ -140,6 +146,52 @@ def _member(keys: np.ndarray, of: np.ndarray, tables: list[np.ndarray]) -> np.nd
     return np.isin(asked, pool)
 
 
+def _copies(page: np.ndarray, key: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(copies of each key on its page, is it the key that the page has most often?)."""
+    with np.errstate(over="ignore"):
+        both = mix(key + mix(page.astype(U64) + U64(1)))
+    _, first, at, n = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+    most = np.zeros(texts, np.int64)
+    np.maximum.at(most, page[first], n)
+    # of equally frequent keys the last one
+    winner = np.full(texts, -1)
+    leads = np.flatnonzero(n == most[page[first]])
+    winner[page[first[leads]]] = leads
+    return n[at], winner[page] == at
+
+
+def repetition(lines: Lines, wkey: np.ndarray, own: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
+    """Per line, words that are the page's top word, stand in repeated pairs, in later copies of a line, or in lists.
+
+    ``words``: sorted hashes of common words, which are no top word; pairs of two of them don't count.
+    """
+    w, of, n, texts = lines.words(), lines.text_of, lines.n, int(lines.text_of[-1]) + 1 if lines.n else 0
+    common = np.zeros(len(w["line"]), bool)
+    if len(words) and len(common):
+        h = w["hash"].view(np.int64)
+        common = words[np.minimum(np.searchsorted(words, h), len(words) - 1)] == h
+    use = np.flatnonzero(own[w["line"]] & ~common & ~w["number"]) if len(common) else np.zeros(0, np.int64)
+    copies, lead = _copies(of[w["line"][use]], w["hash"][use], texts)
+    top = np.bincount(w["line"][use[lead & (copies > 1)]], minlength=n)
+    line, at, pair = word_pairs(lines)
+    some = own[line] & ~(common[at] & common[at + 1]) & ~(w["number"][at] | w["number"][at + 1]) if len(at) else np.zeros(0, bool)
+    line, at, pair = line[some], at[some], pair[some]
+    copies, _ = _copies(of[line], pair, texts)
+    covered = np.zeros(len(common), bool)
+    covered[at[copies > 1]] = True
+    covered[at[copies > 1] + 1] = True
+    paired = np.bincount(w["line"][covered], minlength=n)
+    number = np.bincount(w["line"], minlength=n)
+    some = np.flatnonzero(own & (wkey != 0))
+    again = number.copy()
+    again[np.setdiff1d(np.arange(n), some)] = 0
+    _, first = np.unique(np.stack([of[some], wkey[some]]), axis=1, return_index=True)
+    again[some[first]] = 0
+    signs = np.bincount(lines.line_of, weights=np.isin(lines.flat, LISTING), minlength=n)
+    listed = np.where(own & (signs >= 2) & (signs * LIST_WORDS >= number), number, 0)
+    return {"top": top, "paired": paired, "again": again, "listed": listed}
+
+
 def page_features(part: pd.DataFrame, words: np.ndarray, masks: np.ndarray, floors: np.ndarray, over: np.ndarray, over_long: np.ndarray, more: Callable | None) -> pd.DataFrame:
     lines = Lines(part["body_text"].tolist())
     name = part["name"].to_numpy().astype(np.int64).view(U64)
@@ -187,19 +239,27 @@ def page_features(part: pd.DataFrame, words: np.ndarray, masks: np.ndarray, floo
     np.maximum.at(maybe, of[able], able)
     for bit, on in ((FURNITURE, furniture), (LABEL, label), (PARA, para), (SENTENCE, sentence), (INSIDE, inside), (VOTER, voter[of]), (HEAD, (row == head[of]) & (last[of] >= 0)), (HEADABLE, row == maybe[of])):
         flags[on] |= bit
+    plain = inked & ~furniture & ~label & ((flags & ELLIPSIS) == 0)
+    spoken = np.zeros((texts, len(CODES)), np.int64)
+    known = np.flatnonzero(plain & (best >= 0))
+    np.add.at(spoken, (of[known], best[known]), hits[known])
+    lang = np.where(spoken.any(axis=1), spoken.argmax(axis=1), -1)
     keep = np.flatnonzero(inked)
     out = {
         "page_id": part["page_id"].to_numpy()[of[keep]], "skey": part["skey"].to_numpy()[of[keep]], "line_no": lines.line_no[keep].astype(np.int32),
         "path": f["path"][keep].view(np.int64), "flags": flags[keep].astype(np.int32), "words": f["words"][keep].astype(np.int32),
+        "lang": lang[of[keep]].astype(np.int32),
     }
+    out |= {k: v[keep].astype(np.int32) for k, v in repetition(lines, f["wkey"], plain, words).items()}
     if more is not None:
         out |= more(lines, keep, para)
     return pd.DataFrame(out)
 
 
 def featured(pages: DataFrame, more: Callable | None = None, more_schema: str = "") -> DataFrame:
-    """(page_id, skey, line_no, path, flags, words, ...): each non-blank line of the fetched pages, stored.
+    """(page_id, skey, line_no, path, flags, words, lang, top, paired, again, listed, ...): each non-blank line of the fetched pages, stored.
 
+    ``lang`` is the language of most common words on the page, -1 for none; for the others see ``repetition``.
     ``more(lines, kept, paragraphs)`` adds columns for the kept line numbers, whose types ``more_schema`` gives.
     """
     sites, wordings, counted = first_pass(pages)
@@ -218,7 +278,7 @@ def featured(pages: DataFrame, more: Callable | None = None, more_schema: str =
                 yield page_features(pdf.iloc[start : start + BATCH], *shared.value, more)
 
     columns = rows.select("page_id", "skey", "title", "name", "short", "long", "links", "body_text")
-    schema = f"page_id {kind}, skey bigint, line_no int, path bigint, flags int, words int" + (f", {more_schema}" if more_schema else "")
+    schema = f"page_id {kind}, skey bigint, line_no int, path bigint, flags int, words int, lang int, top int, paired int, again int, listed int" + (f", {more_schema}" if more_schema else "")
     return stored(columns.mapInPandas(run, schema))
 
 
@@ -269,8 +329,19 @@ def decided(rows: DataFrame) -> DataFrame:
     return f.withColumn("content", has(flags, PARA) | F.col("won") | heading).drop("signs", "sign_vote", "host_vote", "vote", "n", "heads")
 
 
+def measure_limits(sums: DataFrame) -> DataFrame:
+    """(lang, *_limit): shares of a page's words that are beyond the usual in its language.
+
+    The upper quartile of all pages and three times the distance of the quartiles, at least MEASURES.
+    Shares are counted in thousandths, so exact quartiles need at most 1001 values a language.
+    """
+    quartiles = {m: F.percentile(F.round(F.col(m) * 1000 / F.col("own")), F.array(F.lit(0.25), F.lit(0.75))) for m in MEASURES}
+    got = sums.where(F.col("own") >= MEASURED).groupBy("lang").agg(*(q.alias(m) for m, q in quartiles.items()))
+    return got.select("lang", *(F.greatest(F.lit(least), (4 * F.col(m)[1] - 3 * F.col(m)[0]) / 1000).alias(f"{m}_limit") for m, least in MEASURES.items()))
+
+
 def spam_scores(lines: DataFrame) -> DataFrame:
-    """(page_id, share, spam, paragraphs) and word counts by kind of each page.
+    """(page_id, share, spam, paragraphs), word counts by kind and the measures of each page.
 
     Kinds: sentences; article blocks by outline; furniture aside; texts that could be references; keywords.
     """
@@ -289,16 +360,29 @@ def spam_scores(lines: DataFrame) -> DataFrame:
         .when(sentence, 2)
         .otherwise(3)
     )
-    k = lines.withColumn("kind", kind)
+    plain = flags.bitwiseAND(FURNITURE | LABEL | ELLIPSIS) == 0
+    linked = F.when(plain & has(flags, LINK) & ~has(flags, PARA), words).otherwise(0)
+    k = lines.withColumn("kind", kind).withColumn("linked", linked)
     total = lambda v: F.sum(F.when(F.col("kind") == v, words).otherwise(0))
+    told = F.col("kind") <= 1
     sums = k.groupBy("page_id").agg(
+        F.max("lang").alias("lang"), F.sum(F.when(plain, words).otherwise(0)).alias("own"), *(F.sum(m).alias(m) for m in MEASURES),
+        *(F.sum(F.when(told, F.col(m)).otherwise(0)).alias(f"{m}_told") for m in MEASURES), F.sum(F.when(F.col("kind") == 2, F.col("linked")).otherwise(0)).alias("linked_references"),
         total(0).alias("sentence_words"), total(1).alias("article_words"), total(2).alias("reference_words"), total(3).alias("keyword_words"),
         F.sum((F.col("kind") == 3).cast("int")).alias("keyword_lines"), F.sum(has(flags, PARA).cast("int")).alias("paragraphs"),
     )
     # texts of bare links among keywords and addresses are of their kind; beside an article they are furniture
-    bare = F.when((F.col("keyword_lines") >= 3) | (F.col("sentence_words") == 0), F.col("reference_words")).otherwise(0)
-    bad = F.col("keyword_words") + bare
-    whole = bad + F.col("sentence_words") + F.col("article_words")
+    sums = stored(sums)
+    sums = sums.join(F.broadcast(measure_limits(sums)), "lang", "left")  # a row a language
+    beyond = {m: (F.col("own") >= MEASURED) & (F.col(m) > F.coalesce(f"{m}_limit", F.lit(least)) * F.col("own")) for m, least in MEASURES.items()}
+    bare = F.when((F.col("keyword_lines") >= 3) | (F.col("sentence_words") == 0), F.col("reference_words")).when(beyond["linked"], F.col("linked_references")).otherwise(0)
+    # a song repeats its word pairs too; stuffing has one word in excess besides
+    stuffed = F.greatest(
+        F.when(beyond["top"], F.greatest("top_told", F.when(beyond["paired"], F.col("paired_told")))),
+        *(F.when(beyond[m], F.col(f"{m}_told")) for m in ("again", "listed", "linked")), F.lit(0),
+    )
+    bad = F.col("keyword_words") + bare + stuffed
+    whole = F.col("keyword_words") + bare + F.col("sentence_words") + F.col("article_words")
     return sums.withColumn("share", F.when(whole > 0, bad / whole).otherwise(0.0)).withColumn("spam", (F.col("share") >= SPAM) & (bad >= 8))
 
 

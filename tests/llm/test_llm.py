@@ -90,6 +90,24 @@ def test_p4_and_p7(spark, pages):
     assert content.keyword_pages(pages.limit(0)).count() == 0 and content.furniture_lines(pages.limit(0)).count() == 0
 
 
+def test_p7_stuffed_sentences(spark):
+    rnd = random.Random(7)
+    vocabulary = ["".join(rnd.choice("bdfgklmnprstv") + rnd.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    some = lambda: rnd.choice(vocabulary)
+    line = lambda: f"The {some()} of the {some()} was {some()} and the {some()} had {some()} in {some()} for {some()} and the {some()} of {some()}."
+    bodies = {k: [f"How {some()} {some()} {some()} {some()}", *(line() for _ in range(6))] for k in range(1, 81)}
+    for k, body in bodies.items():  # articles end with a few links
+        body += [f"{some()} {some()} {some()}"] * (k % 3 == 0)
+    bodies[900] = [f"The cheap loan for the {some()} and the cheap loan in the {some()} was the cheap loan of the {some()}." for _ in range(12)]
+    bodies[901] = ["Call the shop in the market for the offer of the week and the gift of the season in the hall of the town."] * 15
+    bodies[902] = [f"The {some()} of the {some()} in the {some()}." for _ in range(20)]
+    bodies[903] = [f"The {some()}, {some()}, {some()}, {some()}, {some()}, the {some()}, {some()}, {some()} and {some()}, {some()}, {some()}, the {some()} of {some()}." for _ in range(8)]
+    song = some()
+    bodies[904] = [f"Oh the road to {song}, the long road to {some()}, it bends like the river at {some()} and the {some()} of the {some()} had {some()} in {some()} for {some()}." for _ in range(12)]
+    rows = [(k, f"https://www.site{k % 7}.example/p/{k}", body[0], "\n".join(body), [("u", x) for x in body] if k == 902 else [], "en", 1, 200, None, None) for k, body in bodies.items()]
+    assert sorted(r.page_id for r in content.keyword_pages(spark.createDataFrame(rows, PAGE)).collect()) == [900, 901, 902, 903]
+
+
 def test_p2(spark, pages):
     wrong = pages.withColumn("lang", F.when(F.col("page_id") == 7, F.lit(None).cast("string")).when(F.col("page_id") == 8, "English").when(F.col("page_id") == 9, "fra").otherwise(F.col("lang")))
     got = {(r.page_id, r.lang) for r in lang_id.wrong_labels(wrong).collect()}
