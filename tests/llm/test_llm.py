@@ -80,6 +80,17 @@ def test_p5_against_brute_force(spark, pages):
     assert site_lines.repeated_lines(pages.limit(0)).count() == 0
 
 
+def test_p5_clusters_count_addresses(spark):
+    lone = "\n".join(f"Bus 45 leaves {a} at 10:32 and reaches the harbour before noon" for a in PLACES)
+    spread = [f"Seen by {a} today, who keeps the harbour and the market" for a in PLACES[:6]]
+    rows = [(k, f"https://site.example/p/{k}", "t", spread[k] + ("\n" + lone if k < 2 else ""), None, "en", 1, 200, None, None) for k in range(6)]
+    table = spark.createDataFrame(rows, PAGE)
+    got = {(r.page_id, r.line_no) for r in site_lines.repeated_lines(table, exact=False).collect()}
+    # twelve alike lines of two pages stand on two addresses; six wordings of six pages on six
+    assert {(k, 1) for k in range(6)} <= got and not {(k, n) for k in range(2) for n in range(2, 14)} & got
+    assert site_lines.repeated_lines(table).count() == 0
+
+
 def test_p4_and_p7(spark, pages):
     want = corpus()[1]
     assert [r.page_id for r in content.keyword_pages(pages).collect()] == [900]
