@@ -3,9 +3,10 @@
 Main content. Text blocks take the place of containers and their outlines - classes of words, numbers
 and the signs as they stand - that of generalised tag-class paths. Blocks are scored on each page: a
 long sentence-like block that is no repeated wording is a paragraph; other blocks vote for their outline
-by whether they stand within the run of paragraphs. Votes are summed per host, backed by the votes of
-all hosts where a host has few. Then each page is extracted again: its headline, its paragraphs, and the
-blocks whose outlines won.
+by whether they stand within the run of paragraphs. Votes are summed per host and shrunk towards those
+of all hosts, and these towards what the block's signs and place say; no outline is too rare to vote, and
+a block's own vote does not count for itself. Then each page is extracted again: its headline, its
+paragraphs, and the blocks whose outlines won.
 
 Keyword pages. Common sentence words of each language are found from all pages. Blocks that lack them
 and did not win as content, addresses, tags and bare link texts are keyword blocks; a page with at least
@@ -20,31 +21,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.features import BATCH, ELLIPSIS, ENDS, HAS_NAME, LINK, LONG, LOSSY, QUOTE, SEPARATED, TAG, TITLE, URLISH, first_pass, line_features, sentence_ends, site_pages, word_pairs
+from quern.llm.features import BATCH, ELLIPSIS, ENDS, HAS_NAME, LINK, LONG, QUOTE, SEPARATED, TAG, TITLE, URLISH, first_pass, line_features, site_pages, word_pairs
 from quern.llm.languages import CODES
-from quern.llm.linecode import U64, Lines, mix
-from quern.llm.pages import SALTS
+from quern.llm.linecode import U64, Lines, among, mix
+from quern.operators.skew import join_spread
 from quern.session import bounded_broadcast, read_table, stored
 
 FURNITURE, LABEL, PARA, SENTENCE, INSIDE, VOTER, HEAD, HEADABLE = (1 << i for i in range(10, 18))
 SITE_MIN, SITE_SHARE, SITE_SHARE_LONG = 3, 0.02, 0.05  # repeated wording: pages, and share of the site's pages
 ALL_SITES, ALL_SHARE, ALL_SHARE_LONG = 3, 0.03, 0.10  # the same over sites
 WIN = 0.35  # share of votes from within the paragraphs by which an outline wins
-FREQUENT = 20  # blocks from which an outline has votes of its own; rarer ones vote by their signs
+PRIOR = 10  # votes for which what stands behind a vote counts: all hosts behind a host, signs and place behind all hosts
+TITLED = 5  # headlines anywhere from which an outline is one of headlines
 VOTER_SHARE = 0.4  # share of a page's own words that its paragraphs must have for it to vote
 COMMON = 0.10  # share of a language's pages from which a word is common
-CALIBRATE = 0.4  # part of a language's median share of common words that makes a block a sentence
-SAMPLE_PAGES = 100  # pages a language on which that median is taken
+CALIBRATE = 0.4  # part of the common words' share of all places in a language's sentences that makes a block a sentence
+CALIBRATED = 200  # places from which that share says something
 SPAM = 0.5
-LISTING = np.array([ord(c) for c in ",;|·•»›>/،、—–"], dtype=np.uint32)
+LISTING = ",;|·•»›>/،、—–"
 #: Shares of a page's words, and the least threshold of each: its top word, repeated word pairs, repeated lines, separated lists, link texts.
 MEASURES = {"top": 0.10, "paired": 0.30, "again": 0.30, "listed": 0.30, "linked": 0.50}
 MEASURED = 20  # words from which a page's shares say something
 LIST_WORDS = 3  # a line with a separator for so many words or fewer is a list
 MAX_ROWS = 400_000  # most rows of a small table that are sent to every task; larger ones are joined by shuffling
+MAX_BYTES = 32 << 20  # the same for the sites' tables, in bytes
+PART_PAGES = 20_000  # pages of one site that a task is to join with its table
 
 
 def has(flags: Column, bit: int) -> Column:
@@ -54,17 +58,24 @@ def has(flags: Column, bit: int) -> Column:
 # ---- what the texts say about sites and languages
 
 
-def common_words(words: DataFrame) -> dict[int, int]:
-    """Word hash to a bit mask of the languages in which the word is common.
+def common_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of common words, bit masks of the languages they are common in, sentence floors by language).
 
-    A language has at most (words a page) / COMMON such words, which bounds what comes to the driver.
+    A language's floor is the share of common words from which a block is a sentence: CALIBRATE of their
+    share of all places in the language's sentences; the last entry is for none. A language has at most
+    (words a page) / COMMON such words, which bounds what comes to the driver.
     """
-    per = Window.partitionBy("lang")
-    shares = words.withColumn("pages", F.max(F.when(F.col("word") == 0, F.col("n"))).over(per)).where((F.col("word") != 0) & (F.col("pages") >= 5) & (F.col("n") >= (COMMON - LOSSY) * F.col("pages")))
+    ends = words.where("word = 0").select("lang", F.col("n").alias("pages"), F.col("places").alias("told"))  # a row a language
+    got = words.where("word <> 0").join(F.broadcast(ends), "lang").where((F.col("pages") >= 5) & (F.col("n") >= COMMON * F.col("pages"))).select("lang", "word", "places", "told").toPandas()
     mask: dict[int, int] = {}
-    for lang, word in shares.select("lang", "word").toPandas().itertuples(index=False):
+    floors = np.full(len(CODES) + 1, CALIBRATE / 2)
+    for lang, word in zip(got["lang"], got["word"], strict=True):
         mask[int(word)] = mask.get(int(word), 0) | 1 << int(lang)
-    return mask
+    for lang, rows in got.groupby("lang"):
+        if (told := rows["told"].iloc[0]) >= CALIBRATED:
+            floors[int(lang)] = CALIBRATE * rows["places"].sum() / told
+    common = np.array(sorted(mask), dtype=np.int64)
+    return common, np.array([mask[int(w)] for w in common], dtype=np.int64), floors
 
 
 def common_hits(words: np.ndarray, masks: np.ndarray, lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,48 +96,42 @@ def common_hits(words: np.ndarray, masks: np.ndarray, lines: Lines) -> tuple[np.
     return best, hits, n
 
 
-def sentence_floors(pages: DataFrame, words: np.ndarray, masks: np.ndarray, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
-    """Share of common words from which a block is a sentence, by language; the last entry for none.
+def repeated_wordings(sites: DataFrame, wordings: DataFrame, openings: DataFrame) -> DataFrame:
+    """(skey, pages, name, short, long): each site's repeated wordings, for short and for long lines, stored.
 
-    Taken from the long sentence-like lines of at most ``sample_pages`` pages of each declared language.
-    """
-    rows = site_pages(pages, "lang").where(F.length("body_text") >= 200).select("page_id", F.lower(F.substring(F.trim(F.coalesce("lang", F.lit(""))), 1, 2)).alias("code")).where(F.col("code").isin(CODES)).distinct()
-    by = Window.partitionBy("code").orderBy(F.xxhash64("page_id"), "page_id")
-    chosen = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_pages).select("page_id")
-    got = site_pages(pages).join(F.broadcast(chosen.distinct()), "page_id").select("body_text").limit(2 * sample_pages * len(CODES)).toPandas()
-    floors = np.full(len(CODES) + 1, CALIBRATE / 2)
-    shares: dict[int, list[np.ndarray]] = {k: [] for k in range(len(CODES))}
-    for at in range(0, len(got), BATCH):
-        lines = Lines(got["body_text"].iloc[at : at + BATCH].tolist())
-        best, hits, n = common_hits(words, masks, lines)
-        use = (lines.length >= 80) & sentence_ends(lines) & (hits > 0)
-        for k in shares:
-            shares[k].append((hits / np.maximum(n, 1))[use & (best == k)])
-    for k, parts in shares.items():
-        share = np.concatenate(parts) if parts else np.zeros(0)
-        if len(share) >= 10:
-            floors[k] = CALIBRATE * np.median(share)
-    return floors
-
-
-def repeated_wordings(sites: DataFrame, wordings: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """((skey, name, short, long) a site, wordings over sites for short and for long lines).
-
-    A site's wordings on a share SITE_SHARE / 2 of its pages or more are at most its mean lines a page
-    times 2 / SITE_SHARE, whatever its size; those over sites are bounded likewise by ALL_SHARE.
+    Those repeated on the site itself, and those repeated over sites that stand on it too, or open its lines. A site's own ones,
+    on a share SITE_SHARE / 2 of its pages or more, are at most its mean lines a page times 2 / SITE_SHARE.
     """
-    rated = wordings.join(bounded_broadcast(sites.select("skey", "pages"), MAX_ROWS), "skey").withColumn("share", F.col("df") / F.col("pages"))
-    within = rated.where((F.col("df") >= SITE_MIN) & ((F.col("share") >= SITE_SHARE) | ((F.col("df") >= 6) & (F.col("share") >= SITE_SHARE / 2))))
-    per = within.groupBy("skey").agg(F.sort_array(F.collect_list("wkey")).alias("short"), F.sort_array(F.collect_list(F.when(F.col("share") >= SITE_SHARE_LONG, F.col("wkey")))).alias("long"))
+    if sites.limit(MAX_ROWS + 1).count() <= MAX_ROWS:
+        rated = wordings.join(F.broadcast(sites.select("skey", "pages")), "skey")
+    else:
+        rated = join_spread(wordings, sites.select("skey", "pages", (F.col("pages") * 64).alias("most")), ["skey"], "most", "wkey")
+    rated = rated.withColumn("share", F.col("df") / F.col("pages"))
+    own = rated.where((F.col("df") >= SITE_MIN) & ((F.col("share") >= SITE_SHARE) | ((F.col("df") >= 6) & (F.col("share") >= SITE_SHARE / 2)))).select("skey", "wkey", (F.col("share") >= SITE_SHARE_LONG).alias("also_long"))
     over = (
         rated.groupBy("wkey").agg(F.count(F.lit(1)).alias("sites"), F.sum("df").alias("d"), F.sum("pages").alias("p"))
-        .where((F.col("sites") >= ALL_SITES) & (F.col("d") >= ALL_SHARE * F.col("p"))).select("wkey", (F.col("d") / F.col("p")).alias("share"))
+        .where((F.col("sites") >= ALL_SITES) & (F.col("d") >= ALL_SHARE * F.col("p"))).select("wkey", "sites", (F.col("d") >= ALL_SHARE_LONG * F.col("p")).alias("also_long"))
     )
-    got = over.limit(MAX_ROWS + 1).toPandas()
-    if len(got) > MAX_ROWS:
-        got = got.iloc[:0]  # too many to send: sites' own wordings alone decide
-    keys, share = got["wkey"].to_numpy(dtype=np.int64), got["share"].to_numpy(dtype=float)
-    return stored(sites.select("skey", "name").join(per, "skey", "left")), np.sort(keys), np.sort(keys[share >= ALL_SHARE_LONG])
+    standing = wordings.select("skey", "wkey").union(openings).distinct()
+    spots = standing.groupBy("wkey").agg(F.count(F.lit(1)).alias("spots"))
+    across = join_spread(standing, stored(over.drop("sites").join(spots, "wkey")), ["wkey"], "spots", "skey")
+    both = own.union(across.select("skey", "wkey", "also_long")).groupBy("skey", "wkey").agg(F.max("also_long").alias("also_long"))
+    per = both.groupBy("skey").agg(F.sort_array(F.collect_list("wkey")).alias("short"), F.sort_array(F.collect_list(F.when(F.col("also_long"), F.col("wkey")))).alias("long"))
+    return stored(sites.select("skey", "pages", "name").join(per, "skey", "left"))
+
+
+def with_site_tables(rows: DataFrame, tables: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Pages with ``name``, ``short`` and ``long`` of their sites.
+
+    The tables are sent to every task if their bytes, summed first, are few. Beyond that pages and tables are
+    joined by shuffling, the pages of a large site in parts.
+    """
+    size = tables.agg(F.sum(F.lit(48) + 8 * (F.greatest(F.size("short"), F.lit(0)) + F.greatest(F.size("long"), F.lit(0))))).first()[0] or 0
+    columns = tables.select("skey", "pages", F.coalesce("name", F.lit(0).cast("long")).alias("name"), "short", "long")
+    if size <= (MAX_BYTES if max_bytes is None else max_bytes):
+        return rows.join(F.broadcast(columns.drop("pages")), "skey")
+    # captures of a page are several rows; ``pages`` counts them once
+    return join_spread(rows, columns, ["skey"], "pages", "page_id", part_rows=PART_PAGES)
 
 
 # ---- features of lines
@@ -187,12 +192,12 @@ def repetition(lines: Lines, wkey: np.ndarray, own: np.ndarray, words: np.ndarra
     again[np.setdiff1d(np.arange(n), some)] = 0
     _, first = np.unique(np.stack([of[some], wkey[some]]), axis=1, return_index=True)
     again[some[first]] = 0
-    signs = np.bincount(lines.line_of, weights=np.isin(lines.flat, LISTING), minlength=n)
+    signs = np.bincount(lines.line_of, weights=among(lines.low, LISTING), minlength=n)
     listed = np.where(own & (signs >= 2) & (signs * LIST_WORDS >= number), number, 0)
     return {"top": top, "paired": paired, "again": again, "listed": listed}
 
 
-def page_features(part: pd.DataFrame, words: np.ndarray, masks: np.ndarray, floors: np.ndarray, over: np.ndarray, over_long: np.ndarray, more: Callable | None) -> pd.DataFrame:
+def page_features(part: pd.DataFrame, words: np.ndarray, masks: np.ndarray, floors: np.ndarray, more: Callable | None) -> pd.DataFrame:
     lines = Lines(part["body_text"].tolist())
     name = part["name"].to_numpy().astype(np.int64).view(U64)
     f = line_features(lines, part["title"].tolist(), name, part["links"].tolist())
@@ -206,14 +211,11 @@ def page_features(part: pd.DataFrame, words: np.ndarray, masks: np.ndarray, floo
     short, long = get("short"), get("long")
     line_site = index[of]
     is_long = (flags & LONG) != 0
-    once, at = np.unique(np.stack([line_site, wkey]), axis=1, return_inverse=True)
-    at = at.reshape(-1)
-    in_short, in_long = _member(once[1].copy(), once[0], short)[at], _member(once[1].copy(), once[0], long)[at]
-    repeated = (wkey != 0) & np.where(is_long, in_long | np.isin(wkey, over_long), in_short | np.isin(wkey, over))
+    repeated = (wkey != 0) & np.where(is_long, _member(wkey, line_site, long), _member(wkey, line_site, short))
     furniture = repeated | ((flags & HAS_NAME) != 0)
     label = ((flags & SEPARATED) != 0) & (prekey != 0)
     some = np.flatnonzero(label)
-    label[some] = _member(prekey[some], line_site[some], short) | np.isin(prekey[some], over)
+    label[some] = _member(prekey[some], line_site[some], short)
     best, hits, counted = common_hits(words, masks, lines)
     sentence = (hits > 0) & (hits >= floors[best] * counted)
     ends = (flags & ENDS) != 0
@@ -252,7 +254,7 @@ def page_features(part: pd.DataFrame, words: np.ndarray, masks: np.ndarray, floo
     }
     out |= {k: v[keep].astype(np.int32) for k, v in repetition(lines, f["wkey"], plain, words).items()}
     if more is not None:
-        out |= more(lines, keep, para)
+        out |= more(lines, keep, para, plain)
     return pd.DataFrame(out)
 
 
@@ -260,16 +262,12 @@ def featured(pages: DataFrame, more: Callable | None = None, more_schema: str =
     """(page_id, skey, line_no, path, flags, words, lang, top, paired, again, listed, ...): each non-blank line of the fetched pages, stored.
 
     ``lang`` is the language of most common words on the page, -1 for none; for the others see ``repetition``.
-    ``more(lines, kept, paragraphs)`` adds columns for the kept line numbers, whose types ``more_schema`` gives.
+    ``more(lines, kept, paragraphs, plain)`` adds columns for the kept line numbers, whose types ``more_schema``
+    gives; ``plain`` are lines that are no furniture.
     """
-    sites, wordings, counted = first_pass(pages)
-    mask = common_words(counted)
-    words = np.array(sorted(mask), dtype=np.int64)
-    masks = np.array([mask[int(w)] for w in words], dtype=np.int64)
-    floors = sentence_floors(pages, words, masks)
-    tables, over, over_long = repeated_wordings(sites, wordings)
-    shared = pages.sparkSession.sparkContext.broadcast((words, masks, floors, over, over_long))
-    rows = site_pages(pages, "links").join(bounded_broadcast(tables, MAX_ROWS // 8), "skey", "left").withColumn("name", F.coalesce("name", F.lit(0).cast("long")))
+    sites, wordings, openings, counted = first_pass(pages)
+    shared = pages.sparkSession.sparkContext.broadcast(common_words(counted))
+    rows = with_site_tables(site_pages(pages, "links"), repeated_wordings(sites, wordings, openings))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,44 +287,42 @@ def _signs(flags: Column) -> Column:
     return flags.bitwiseAND(QUOTE | ENDS | SEPARATED | LONG | TAG | URLISH)
 
 
-def outline_votes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(host votes, votes of all hosts, votes by signs): (skey, path, host_vote), (path, vote, heads), (signs, sign_vote)."""
+def outline_votes(usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((skey, path, lines, own_n, own_yes, n, yes, heads), (signs, sign_vote)): votes of hosts and of all hosts.
+
+    ``usable``: the lines whose outlines are asked for. Lines of pages that tell their article mostly in
+    paragraphs vote; titles count as ``heads`` only.
+    """
     flags = F.col("flags")
-    voting = rows.where(has(flags, VOTER) & (flags.bitwiseAND(FURNITURE | LABEL | PARA) == 0))
-    title = has(flags, TITLE)
-    per = voting.groupBy("skey", "path", _signs(flags).alias("signs")).agg(
-        F.sum((~title).cast("long")).alias("n"), F.sum((~title & has(flags, INSIDE)).cast("long")).alias("yes"), F.sum(title.cast("long")).alias("heads")
-    )
-    per = stored(per)
-    share = (F.sum("yes") + 1) / (F.sum("n") + 2)
-    every = stored(per.groupBy("path").agg(share.alias("vote"), F.sum("n").alias("n"), F.sum("heads").alias("heads")).where((F.col("n") >= FREQUENT) | (F.col("heads") >= 5)))
-    signs = per.groupBy("signs").agg(share.alias("sign_vote"))
-    # a host's own votes count where it has many, backed by those of all hosts
-    host = per.groupBy("skey", "path").agg(F.sum("n").alias("own_n"), F.sum("yes").alias("own_yes")).where(F.col("own_n") >= 10).join(bounded_broadcast(every.select("path", "vote"), MAX_ROWS), "path")
-    host = host.select("skey", "path", ((F.col("own_yes") + 10 * F.col("vote")) / (F.col("own_n") + 10)).alias("host_vote"))
-    return stored(host), every.select("path", "vote", "n", "heads"), signs
+    votes, title, inside = has(flags, VOTER), has(flags, TITLE), has(flags, INSIDE)
+    count = lambda c: F.sum(c.cast("long"))
+    per = stored(usable.groupBy("skey", "path").agg(
+        F.count(F.lit(1)).alias("lines"), count(votes & ~title).alias("own_n"), count(votes & ~title & inside).alias("own_yes"), count(votes & title).alias("own_heads")
+    ))
+    every = per.groupBy("path").agg(F.sum("own_n").alias("n"), F.sum("own_yes").alias("yes"), F.sum("own_heads").alias("heads"), F.count(F.lit(1)).alias("hosts"))
+    table = join_spread(per.drop("own_heads"), stored(every), ["path"], "hosts", "skey")
+    signs = usable.groupBy(_signs(flags).alias("signs")).agg(((count(votes & ~title & inside) + 1) / (count(votes & ~title) + 2)).alias("sign_vote"))
+    return stored(table), signs
 
 
 def decided(rows: DataFrame) -> DataFrame:
     """Rows of ``featured`` with ``won`` and ``content``: is the line part of the page's own article?"""
     flags = F.col("flags")
-    host, every, signs = outline_votes(rows)
-    f = rows
-    for table, keys in ((every, ["path"]), (host, ["skey", "path"])):
-        small = bounded_broadcast(table, MAX_ROWS)
-        if small is not table:
-            f = f.join(small, keys, "left")
-        else:  # one outline may be a third of all lines: spread its lines, repeat its row
-            salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            f = f.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
-    f = f.withColumn("signs", _signs(flags)).join(F.broadcast(signs), "signs", "left")  # at most 64 rows
-    # a rare outline leans on its signs, and on its own place
-    rare = F.when(has(flags, INSIDE) | has(flags, QUOTE), F.col("sign_vote"))
-    vote = F.coalesce("host_vote", F.when(F.col("n") >= FREQUENT, F.col("vote")), rare, F.lit(0.0))
     usable = flags.bitwiseAND(FURNITURE | LABEL | ELLIPSIS | URLISH | PARA) == 0
-    f = f.withColumn("won", usable & (vote >= WIN))
-    heading = has(flags, HEAD) | (has(flags, HEADABLE) & (F.coalesce("heads", F.lit(0)) >= 5))
-    return f.withColumn("content", has(flags, PARA) | F.col("won") | heading).drop("signs", "sign_vote", "host_vote", "vote", "n", "heads")
+    asked = rows.where(usable)
+    votes, signs = outline_votes(asked)
+    f = join_spread(asked, votes, ["skey", "path"], "lines", "page_id").withColumn("signs", _signs(flags)).join(F.broadcast(signs), "signs")  # at most 64 rows
+    # a line's own vote is left out; behind the votes stand its signs if its place speaks for it
+    voted = (has(flags, VOTER) & ~has(flags, TITLE)).cast("int")
+    yes = voted * has(flags, INSIDE).cast("int")
+    behind = F.when(has(flags, INSIDE) | has(flags, QUOTE), F.col("sign_vote")).otherwise(0.0)
+    everywhere = (F.col("yes") - yes + PRIOR * behind) / (F.col("n") - voted + PRIOR)
+    vote = (F.col("own_yes") - yes + PRIOR * everywhere) / (F.col("own_n") - voted + PRIOR)
+    f = f.withColumn("won", vote >= WIN)
+    heading = has(flags, HEAD) | (has(flags, HEADABLE) & (F.col("heads") >= TITLED))
+    told = f.select(*rows.columns, "won", (F.col("won") | heading).alias("content"))
+    rest = rows.where(~usable).select(*rows.columns, F.lit(False).alias("won"), (has(flags, PARA) | has(flags, HEAD)).alias("content"))
+    return told.union(rest)
 
 
 def measure_limits(sums: DataFrame) -> DataFrame:
@@ -341,9 +337,11 @@ def measure_limits(sums: DataFrame) -> DataFrame:
 
 
 def spam_scores(lines: DataFrame) -> DataFrame:
-    """(page_id, share, spam, paragraphs), word counts by kind and the measures of each page.
+    """(page_id, share, spam, paragraphs), word counts by kind, and each page's measures with their limits.
 
-    Kinds: sentences; article blocks by outline; furniture aside; texts that could be references; keywords.
+    Measures are words that are the page's top word (``top``), stand in repeated word pairs (``paired``), in later
+    copies of a line (``again``), in separated lists (``listed``), in bare link texts (``linked``), or in blocks
+    without the common words of sentences (``bare``); ``own`` are all words beside furniture. Kinds: sentences; article blocks by outline; furniture aside; texts that could be references; keywords.
     """
     flags = F.col("flags")
     words = F.greatest("words", F.lit(1))
@@ -366,7 +364,7 @@ def spam_scores(lines: DataFrame) -> DataFrame:
     total = lambda v: F.sum(F.when(F.col("kind") == v, words).otherwise(0))
     told = F.col("kind") <= 1
     sums = k.groupBy("page_id").agg(
-        F.max("lang").alias("lang"), F.sum(F.when(plain, words).otherwise(0)).alias("own"), *(F.sum(m).alias(m) for m in MEASURES),
+        F.max("lang").alias("lang"), F.sum(F.when(plain, words).otherwise(0)).alias("own"), F.sum(F.when(plain & ~sentence, words).otherwise(0)).alias("bare"), *(F.sum(m).alias(m) for m in MEASURES),
         *(F.sum(F.when(told, F.col(m)).otherwise(0)).alias(f"{m}_told") for m in MEASURES), F.sum(F.when(F.col("kind") == 2, F.col("linked")).otherwise(0)).alias("linked_references"),
         total(0).alias("sentence_words"), total(1).alias("article_words"), total(2).alias("reference_words"), total(3).alias("keyword_words"),
         F.sum((F.col("kind") == 3).cast("int")).alias("keyword_lines"), F.sum(has(flags, PARA).cast("int")).alias("paragraphs"),
@@ -402,13 +400,31 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
     Blank lines are no lines; a page without a paragraph has no article and yields all its lines; a page id
     that occurs in several rows gives the lines of each.
     """
-    lines = decided(featured(pages))
+    lines = stored(decided(featured(pages)))
     scores = stored(spam_scores(lines))
     without = scores.where("paragraphs = 0").select("page_id", F.lit(True).alias("no_article"))
     rest = without_spam(lines.select("page_id", "line_no", "content"), scores).join(without, "page_id", "left")
     return rest.where(~F.col("content") | F.col("no_article").isNotNull()).select("page_id", "line_no").distinct()
 
 
+def page_measures(pages: DataFrame) -> DataFrame:
+    """(page_id, lang, words, *_share, *_limit, keyword_share, spam): what each page with words is judged by.
+
+    ``lang`` is a code, NULL where no common word stands. Shares are of the page's words beside furniture, 0 where
+    there are none; a limit is NULL where no page of the language has enough words to take it from.
+    """
+    s = spam_scores(decided(featured(pages)))
+    shares = [F.round(F.when(F.col("own") > 0, F.col(m) / F.col("own")).otherwise(0.0), 6).alias(f"{m}_share") for m in (*MEASURES, "bare")]
+    code = F.when(F.col("lang") >= 0, F.element_at(F.array(*map(F.lit, CODES)), F.col("lang") + 1))
+    limits = [F.round(f"{m}_limit", 6).alias(f"{m}_limit") for m in MEASURES]
+    return s.select("page_id", code.alias("lang"), F.col("own").alias("words"), *shares, *limits, F.round("share", 6).alias("keyword_share"), "spam")
+
+
+def p7_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of each page."""
+    return page_measures(read_table(spark, sf_dir, "crawled_pages"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are mostly keywords, bare link texts or tags."""
     return keyword_pages(read_table(spark, sf_dir, "crawled_pages")).select("page_id").distinct()
@@ -419,5 +435,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture_lines(read_table(spark, sf_dir, "crawled_pages"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p7_measures": p7_measures}
 ORACLE: dict[str, str] = {}

@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from quern.functions.urls import registrable_domain
 from quern.llm.languages import CODES, declared
-from quern.llm.linecode import U64, Lines, mix
+from quern.llm.linecode import U64, Lines, among, mix
 from quern.llm.pages import fetched, page_key
 from quern.session import stored
 
 BATCH = 200
 PARAGRAPH = 80  # characters of a full paragraph
 HAS_NAME, LONG, ENDS, ELLIPSIS, TITLE, LINK, URLISH, TAG, SEPARATED, QUOTE = (1 << i for i in range(10))
-LOSSY = 0.01  # error of a word's share of pages that counting allows
-_SEPARATORS = np.array([ord(c) for c in "»›>|:–—•·/"], dtype=np.uint32)
+HELD = 1_000_000  # (language, word) counts that a task keeps before it passes them on
+_SEPARATORS = "»›>|:–—•·/"
 _STOPS = np.array([ord(c) for c in ".!?।॥。…"], dtype=np.uint32)
 _CLOSING = np.array([ord(c) for c in "\"'”’»)“"], dtype=np.uint32)
 _TAGS = np.array([ord(c) for c in "#+"], dtype=np.uint32)
@@ -55,61 +55,76 @@ def word_pairs(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return w["line"][at], at, mix(w["hash"][at] * U64(3) + w["hash"][at + 1])
 
 
-class _WordPages:
-    """On how many pages a word stands, by language, over the rows of a task."""
+class _WordCounts:
+    """Partial counts of words by language over the rows of a task: pages with the word, and places in sentences.
+
+    ``rows`` and ``full`` pass on all that is held, so that sums over the parts are exact.
+    """
 
     def __init__(self):
-        self.total: dict[int, int] = {}
         self.kept: list[np.ndarray] = []
         self.held = 0
 
     @staticmethod
     def _merge(parts: list[np.ndarray]) -> np.ndarray:
-        keys = np.concatenate([p[:2] for p in parts], axis=1)
-        order = np.lexsort((keys[1], keys[0]))
-        n = np.concatenate([p[2] for p in parts])[order]
-        keys = keys[:, order]
-        new = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0))))
-        return np.vstack([keys[:, new], np.add.reduceat(n, new)])
-
-    def add(self, lines: Lines, lang: np.ndarray, good: np.ndarray) -> None:
+        got = np.concatenate(parts, axis=1)
+        order = np.lexsort((got[1], got[0]))
+        got = got[:, order]
+        new = np.flatnonzero(np.concatenate(([True], (got[:2, 1:] != got[:2, :-1]).any(axis=0))))
+        return np.vstack([got[:2, new], np.add.reduceat(got[2:], new, axis=1)])
+
+    def add(self, lines: Lines, lang: np.ndarray, good: np.ndarray, sentence: np.ndarray) -> None:
+        """``lang``: of each text, -1 for none; ``good``: lines whose words count; ``sentence``: those whose places count."""
         w = lines.words()
         use = good[w["line"]] & ~w["number"] & (lang[lines.text_of[w["line"]]] >= 0) if len(w["line"]) else np.zeros(0, bool)
-        of, word = lines.text_of[w["line"][use]], w["hash"][use]
+        of, word, told = lines.text_of[w["line"][use]], w["hash"][use], sentence[w["line"][use]]
         if not len(of):
             return
-        # distinct words of each page
+        # distinct words of each page, with their places
         order = np.lexsort((word, of))
-        of, word = of[order], word[order]
-        new = np.concatenate(([True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])))
-        of, word = of[new], word[new]
-        for k, n in zip(*np.unique(lang[np.unique(of)], return_counts=True), strict=True):
-            self.total[int(k)] = self.total.get(int(k), 0) + int(n)
-        self.kept.append(self._merge([np.vstack([lang[of], word.view(np.int64), np.ones(len(of), np.int64)])]))
+        of, word, told = of[order], word[order], told[order]
+        new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (of[1:] != of[:-1]))))
+        places = np.add.reduceat(told.astype(np.int64), new)
+        of, word = of[new], word[new].view(np.int64)
+        ends = np.zeros((4, len(CODES)), np.int64)  # word 0: all pages and places
+        ends[0] = np.arange(len(CODES))
+        ends[2] = np.bincount(lang[np.unique(of)], minlength=len(CODES))
+        ends[3] = np.bincount(lang[of], weights=places, minlength=len(CODES))
+        self.kept.append(self._merge([np.vstack([lang[of], word, np.ones(len(of), np.int64), places]), ends[:, ends[2] > 0]]))
         self.held += self.kept[-1].shape[1]
-        if self.held > 1_000_000:
+        if self.held > HELD:
             self.kept = [self._merge(self.kept)]
             self.held = self.kept[0].shape[1]
 
-    def rows(self) -> np.ndarray:
-        """(language, word, pages): words under LOSSY of the task's pages left out; word 0: all pages."""
+    def full(self) -> bool:
+        return self.held > HELD // 2 and len(self.kept) == 1
+
+    def rows(self) -> pd.DataFrame:
+        """Kind 1: pages with a word; kind 2: its places in sentences; as rows of the first pass."""
         if not self.kept:
-            return np.zeros((3, 0), np.int64)
+            return pd.DataFrame()
         got = self._merge(self.kept)
-        floor = np.array([self.total[int(k)] * LOSSY for k in got[0]])
-        ends = np.array([[k, 0, n] for k, n in self.total.items()], dtype=np.int64).T
-        return np.concatenate([got[:, got[2] > floor], ends], axis=1)
+        self.kept, self.held = [], 0
+        some = got[:, got[3] > 0]
+        size = got.shape[1] + some.shape[1]
+        return pd.DataFrame({
+            "kind": np.repeat(np.array([1, 2], np.int32), [got.shape[1], some.shape[1]]), "skey": np.concatenate([got[0], some[0]]),
+            "pkey": np.concatenate([got[2], some[3]]), "wkey": np.concatenate([got[1], some[1]]), "names": [np.zeros(0, np.int64)] * size, "notice": False,
+        })
 
 
 def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = _WordPages()
+    counts = _WordCounts()
     for pdf in batches:
         for start in range(0, len(pdf), BATCH):
             part = pdf.iloc[start : start + BATCH]
             # the title follows the text as its last line
             lines = Lines([b + "\n" + t.replace("\n", " ") for b, t in zip(part["body_text"], part["title"], strict=True)])
             title = np.append(lines.text_of[1:] != lines.text_of[:-1], True)
-            counts.add(lines, part["lang"].to_numpy().astype(np.int64), ((lines.length >= PARAGRAPH) & sentence_ends(lines)) | title)
+            told = (lines.length >= PARAGRAPH) & sentence_ends(lines) & ~title
+            counts.add(lines, part["lang"].to_numpy().astype(np.int64), told | title, told)
+            if counts.full():
+                yield counts.rows()
             wkey, count = lines.letters()
             w = lines.words()
             line, at, pair = word_pairs(lines)
@@ -119,30 +134,39 @@ def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             copyright_ = np.zeros(lines.n, bool)
             copyright_[lines.line_of[np.flatnonzero(lines.flat == 0xA9)]] = True
             keep = np.flatnonzero((count > 0) & ~title)
+            if not len(keep):
+                continue
             lo, hi = np.searchsorted(line, keep, "left"), np.searchsorted(line, keep, "right")
             of = lines.text_of[keep]
             yield pd.DataFrame({
                 "kind": np.int32(0), "skey": part["skey"].to_numpy()[of], "pkey": part["pkey"].to_numpy()[of], "wkey": wkey[keep].view(np.int64),
                 "names": [pair[a:b] for a, b in zip(lo, hi, strict=True)], "notice": copyright_[keep],
             })
-    got = counts.rows()
-    if got.shape[1]:
-        yield pd.DataFrame({"kind": np.int32(1), "skey": got[0], "pkey": got[2], "wkey": got[1], "names": [np.zeros(0, np.int64)] * got.shape[1], "notice": False})
-
-
-def first_pass(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sites, wordings, words): (skey, pages, name), (skey, wkey, df) and (lang, word, n), stored.
-
-    In ``words`` word 0 stands for all pages of the language.
+            before = lines.letters_before(first_separator(lines)).view(np.int64)
+            some = np.flatnonzero((before != 0) & ~title)
+            opened = np.unique(np.stack([part["skey"].to_numpy()[lines.text_of[some]], before[some]], axis=1), axis=0)
+            if not len(some):
+                continue
+            yield pd.DataFrame({"kind": np.int32(3), "skey": opened[:, 0], "pkey": np.int64(0), "wkey": opened[:, 1], "names": [np.zeros(0, np.int64)] * len(opened), "notice": False})
+    if len(got := counts.rows()):
+        yield got
+
+
+def first_pass(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sites, wordings, openings, words): (skey, pages, name), (skey, wkey, df), (skey, wkey) and (lang, word, n, places), stored.
+
+    Openings are what stands before the first separator of a line.
+    ``n``: pages of the language with the word in a sentence or title; ``places``: its places in sentences.
+    Word 0 stands for all pages and places of the language. All counts are exact.
     """
     names_of = declared(F.col("lang"))
     code = F.when(F.size(names_of) == 1, F.coalesce(F.array_position(F.array(*map(F.lit, CODES)), names_of[0]).cast("int") - 1, F.lit(-1))).otherwise(-1)
     rows = site_pages(pages, "lang").withColumn("lang", code)
     found = rows.select("skey", "pkey", "lang", "title", "body_text").mapInPandas(_first, "kind int, skey bigint, pkey bigint, wkey bigint, names array<bigint>, notice boolean")
     # one row a wording and page; the words' partial counts pass through the same exchange
-    per = found.groupBy("kind", "skey", "wkey", "pkey").agg(F.count(F.lit(1)).alias("c"), F.first("names").alias("names"), F.max("notice").alias("notice"))
+    per = found.groupBy("kind", "skey", "wkey", "pkey").agg(F.count(F.lit(1)).alias("c"), F.min("names").alias("names"), F.max("notice").alias("notice"))
     n = F.when(F.col("kind") == 0, F.lit(1)).otherwise(F.col("pkey") * F.col("c"))
-    words = stored(per.groupBy("kind", "skey", "wkey").agg(F.sum(n).alias("df"), F.first("names").alias("names"), F.max("notice").alias("notice")))
+    words = stored(per.groupBy("kind", "skey", "wkey").agg(F.sum(n).alias("df"), F.min("names").alias("names"), F.max("notice").alias("notice")))
     site_words = words.where("kind = 0")
     # repeated lines count most; where a site has few pages, the pair that most of its short lines share
     again = F.when(F.col("notice"), 3).when(F.col("df") >= 2, 1).otherwise(0)
@@ -155,7 +179,22 @@ def first_pass(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     counts = rows.select("skey", "pkey").distinct().groupBy("skey").agg(F.count(F.lit(1)).alias("pages"))
     sites = stored(counts.join(votes, "skey", "left"))
-    return sites, site_words.select("skey", "wkey", "df"), words.where("kind = 1").select(F.col("skey").cast("int").alias("lang"), F.col("wkey").alias("word"), F.col("df").alias("n"))
+    of_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("df")).otherwise(0))
+    counted = words.where("kind IN (1, 2)").groupBy(F.col("skey").cast("int").alias("lang"), F.col("wkey").alias("word")).agg(of_kind(1).alias("n"), of_kind(2).alias("places"))
+    return sites, site_words.select("skey", "wkey", "df"), words.where("kind = 3").select("skey", "wkey"), counted
+
+
+def first_separator(lines: Lines) -> np.ndarray:
+    """Where the first separator after the start of each line stands; -1 for none."""
+    sep = np.flatnonzero(among(lines.low, _SEPARATORS))
+    seg = lines.line_of[sep]
+    inside = sep > lines.first[seg]
+    sep, seg = sep[inside], seg[inside]
+    where = np.full(lines.n, -1, np.int64)
+    if len(sep):
+        edge = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+        where[seg[edge]] = sep[edge]
+    return where
 
 
 def sentence_ends(lines: Lines) -> np.ndarray:
@@ -184,14 +223,7 @@ def line_features(lines: Lines, titles: list[str], names: np.ndarray, links: lis
     flags[inked & np.isin(first, np.array([ord(c) for c in "“\"„‘'"], dtype=np.uint32))] |= QUOTE
     tag = inked & np.isin(first, _TAGS)
     # text before the first separator that follows a letter
-    sep = np.flatnonzero(np.isin(lines.flat, _SEPARATORS))
-    seg = lines.line_of[sep]
-    inside = sep > lines.first[seg]
-    sep, seg = sep[inside], seg[inside]
-    where = np.full(n, -1, np.int64)
-    if len(sep):
-        edge = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-        where[seg[edge]] = sep[edge]
+    where = first_separator(lines)
     prekey = lines.letters_before(where)
     flags[where >= 0] |= SEPARATED
     # the title

@@ -19,6 +19,7 @@ from quern.llm.content import PARA, decided, featured, has, spam_scores, without
 from quern.llm.features import BATCH, site_pages
 from quern.llm.languages import CODES, declared
 from quern.llm.linecode import U64, Lines, mix
+from quern.llm.pages import fetched
 from quern.session import read_table, stored
 
 SAMPLE_PAGES = 120  # pages a declared language from which profiles are fitted
@@ -26,10 +27,14 @@ PROFILE = 400  # trigrams of a profile, and of a text that are compared
 ROUNDS = 3
 
 
-def trigrams(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, trigram, rank) of the most frequent trigrams of the chosen lines, the most frequent at rank 0."""
+def trigrams(lines: Lines, chosen: np.ndarray, group: np.ndarray | None = None, names: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, trigram, rank) of the most frequent trigrams of the chosen lines, the most frequent at rank 0.
+
+    ``group``: ascending numbers of what the lines belong to, in place of the lines themselves. ``names``:
+    count capitalised words too.
+    """
     w = lines.words()
-    use = np.flatnonzero(chosen[w["line"]] & ~w["lead_upper"] & ~w["number"]) if len(w["line"]) else np.zeros(0, np.int64)
+    use = np.flatnonzero(chosen[w["line"]] & (~w["lead_upper"] | names) & ~w["number"]) if len(w["line"]) else np.zeros(0, np.int64)
     none = np.zeros(0, np.int64)
     if not len(use):
         return none, none.astype(U64), none
@@ -39,6 +44,7 @@ def trigrams(lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     offset = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
     chars = np.where(offset == 0, 32, lines.lower[np.maximum(w["start"][use][word] + offset - 1, 0)]).astype(U64)
     line = w["line"][use][word]
+    line = line if group is None else group[line]
     # the space before the next word ends a word as well
     a, b, c = chars[:-2], chars[1:-1], chars[2:]
     same = (line[:-2] == line[2:]) & (b != 32)
@@ -100,11 +106,11 @@ def fit_profiles(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Profiles
     """Profiles from at most ``sample_pages`` pages a declared language, chosen by a hash of the id."""
     names = declared(F.col("lang"))
     rows = site_pages(pages, "lang").where((F.size(names) == 1) & names[0].isin(CODES) & (F.length("body_text") >= 400))
-    rows = rows.select("page_id", names[0].alias("code")).distinct()
+    rows = rows.groupBy("page_id").agg(F.min(names[0]).alias("code"))
     by = Window.partitionBy("code").orderBy(F.xxhash64("page_id"), "page_id")
     chosen = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_pages).select("page_id", "code")
-    # at most sample_pages rows a language come to the driver
-    got = site_pages(pages).join(F.broadcast(chosen), "page_id").select("code", "body_text").limit(2 * sample_pages * len(CODES)).toPandas()
+    # at most sample_pages rows a language come to the driver; of rows with one id the greatest text
+    got = site_pages(pages).join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.max(F.struct("body_text", "code")).alias("x")).orderBy("page_id").select("x.*").toPandas()
     label = got["code"].map({c: i for i, c in enumerate(CODES)}).to_numpy(dtype=np.int64)
     # long lines of the sample as sets of ranked trigrams
     batches = []
@@ -127,16 +133,37 @@ def fit_profiles(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Profiles
     return profiles
 
 
-def labelled_paragraphs(pages: DataFrame) -> DataFrame:
-    """(page_id, line_no, words, plang, sure): the paragraphs of the articles with their languages; no keyword pages."""
+def labelled_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, scores): ``decided`` lines with plang, sure, ptext, psure, stored; and ``spam_scores``.
+
+    ``plang`` and ``sure``: language and confidence of a paragraph, -1 and 0 elsewhere. ``ptext`` and ``psure``: the
+    same of all lines of a page without paragraphs together, on each of its lines: the lines that are
+    no furniture, or all lines where these hold no trigram.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(fit_profiles(pages))
 
-    def languages(lines: Lines, keep: np.ndarray, paragraphs: np.ndarray) -> dict[str, np.ndarray]:
-        best, sure = shared.value.nearest(lines, paragraphs)
-        return {"plang": best[keep], "sure": sure[keep]}
+    def languages(lines: Lines, keep: np.ndarray, paragraphs: np.ndarray, plain: np.ndarray) -> dict[str, np.ndarray]:
+        profiles = shared.value
+        best, sure = profiles.nearest(lines, paragraphs)
+        texts = int(lines.text_of[-1]) + 1 if lines.n else 0
+        ptext, psure = np.full(texts, -1, np.int32), np.zeros(texts)
+        bare = np.bincount(lines.text_of[paragraphs], minlength=texts) == 0
+        for chosen in (plain, np.ones(lines.n, bool)):
+            if not (ask := chosen & (bare & (ptext < 0))[lines.text_of]).any():
+                break
+            for names in (False, True):  # names tell only where there is nothing else
+                got, how = profiles.place(*trigrams(lines, ask, lines.text_of, names), texts)
+                new = (ptext < 0) & (got >= 0)
+                ptext[new], psure[new] = got[new], how[new]
+        return {"plang": best[keep], "sure": sure[keep], "ptext": ptext[lines.text_of[keep]], "psure": psure[lines.text_of[keep]]}
+
+    lines = stored(decided(featured(pages, languages, "plang int, sure double, ptext int, psure double")))
+    return lines, stored(spam_scores(lines))
 
-    lines = decided(featured(pages, languages, "plang int, sure double"))
-    scores = stored(spam_scores(lines))
+
+def labelled_paragraphs(pages: DataFrame) -> DataFrame:
+    """(page_id, line_no, words, plang, sure): the paragraphs of the articles with their languages; no keyword pages."""
+    lines, scores = labelled_lines(pages)
     return without_spam(lines.where(has(F.col("flags"), PARA) & (F.col("plang") >= 0)).select("page_id", "line_no", "words", "plang", "sure"), scores)
 
 
@@ -174,6 +201,23 @@ def wrong_labels(pages: DataFrame) -> DataFrame:
     return each.join(wrong, "page_id")
 
 
+def page_labels(pages: DataFrame) -> DataFrame:
+    """(page_id, lang, confidence, basis): the languages of every fetched page.
+
+    A page with paragraphs has one row for each of their languages (basis "paragraphs"), whatever kind of page it
+    is; another the language of its lines together ("lines"); one without letters a NULL language and
+    confidence ("none"). Confidences are means weighted by words. Of several rows of one id all lines count.
+    """
+    lines, _ = labelled_lines(pages)
+    told = lines.where(has(F.col("flags"), PARA) & (F.col("plang") >= 0)).groupBy("page_id", F.col("plang").alias("k")).agg((F.sum(F.col("sure") * F.col("words")) / F.sum("words")).alias("c"))
+    other = lines.where(F.col("ptext") >= 0).groupBy("page_id").agg(F.max(F.struct("psure", "ptext")).alias("x"))
+    named = told.select("page_id", "k", "c", F.lit(1).alias("b"))
+    other = other.join(told.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.col("x.ptext").alias("k"), F.col("x.psure").alias("c"), F.lit(2).alias("b"))
+    got = named.union(other)
+    rest = fetched(pages).select("page_id").distinct().join(got, "page_id", "left")
+    return rest.select("page_id", F.when(F.col("k") >= 0, code_name(F.col("k"))).alias("lang"), F.round("c", 6).alias("confidence"), F.when(F.col("b") == 1, "paragraphs").when(F.col("b") == 2, "lines").otherwise("none").alias("basis"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the pages whose declared language is missing or wrong."""
     return wrong_labels(read_table(spark, sf_dir, "crawled_pages")).select("page_id", "lang").distinct()
@@ -184,5 +228,10 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_segments(read_table(spark, sf_dir, "crawled_pages"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments}
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fetched page with its languages and their confidence."""
+    return page_labels(read_table(spark, sf_dir, "crawled_pages"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments, "p2_pages": p2_pages}
 ORACLE: dict[str, str] = {}

@@ -37,6 +37,18 @@ def tables() -> dict[str, np.ndarray]:
     return {"lower": lower, "letter": letter, "word": word, "upper": upper, "small": small, "other": other, "digit": digit, "space": space}
 
 
+@lru_cache(maxsize=16)
+def _members(chars: str) -> np.ndarray:
+    out = np.zeros(0x10000, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+def among(low: np.ndarray, chars: str) -> np.ndarray:
+    """Which codes of the basic plane are one of the characters."""
+    return _members(chars)[low]
+
+
 @lru_cache(maxsize=4)
 def powers(base: int, n: int) -> np.ndarray:
     out = np.ones(n, dtype=U64)

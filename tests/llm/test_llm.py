@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import content, encoding, lang_id, mixing, packing, rank_flow, site_lines, value_map
+from quern.llm import content, encoding, features, lang_id, mixing, packing, rank_flow, site_lines, value_map
 from quern.llm.languages import declared
 from quern.llm.linecode import Lines
 
@@ -101,6 +101,58 @@ def test_p4_and_p7(spark, pages):
     assert content.keyword_pages(pages.limit(0)).count() == 0 and content.furniture_lines(pages.limit(0)).count() == 0
 
 
+def test_page_statistics_do_not_depend_on_the_split(spark, pages, monkeypatch):
+    want = None
+    for parts in (1, 12):
+        split = pages.repartition(parts)
+        sites, wordings, openings, words = features.first_pass(split)
+        got = [sorted(map(tuple, t.collect()), key=repr) for t in (sites, wordings, openings, words)]
+        got.append(sorted((r.page_id, r.line_no) for r in content.furniture_lines(split).collect()))
+        want = want or got
+        assert got == want
+    # few rows and bytes are enough to join by shuffling, in parts
+    for module, name in ((content, "MAX_ROWS"), (content, "MAX_BYTES"), (content, "PART_PAGES"), (features, "HELD")):
+        monkeypatch.setattr(module, name, 10)
+    assert sorted((r.page_id, r.line_no) for r in content.furniture_lines(pages).collect()) == want[-1]
+    assert [r.page_id for r in content.keyword_pages(pages).collect()] == [900]
+
+
+def test_word_counts_against_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(k, f"https://s{k % 3}.example/{k}", "Title of it", "\n".join(" ".join(rnd.choice(["the", "of", "mill", "Road", "7"]) for _ in range(30)) + "." for _ in range(3)) + "\nshort the", None, rnd.choice(["en", "fr"]), 1, 200, None, None) for k in range(40)]
+    *_, words = features.first_pass(spark.createDataFrame(rows, PAGE))
+    got = sorted((r.lang, r.n, r.places) for r in words.collect())
+    want = []
+    for k, code in ((0, "en"), (4, "fr")):
+        texts = [[w for line in r[3].split("\n")[:3] for w in line.lower().strip(".").split() if w != "7"] for r in rows if r[5] == code]
+        want.append((k, len(texts), sum(map(len, texts))))
+        for w in ("the", "of", "mill", "road"):
+            want.append((k, len(texts) if w == "of" else sum(w in t for t in texts), sum(t.count(w) for t in texts)))
+        want += [(k, len(texts), 0)] * 2  # title and it
+    assert got == sorted(want)
+
+
+def test_p7_each_measure(spark):
+    columns = ["top", "paired", "again", "listed", "linked", "bare"]
+    rnd = random.Random(3)
+    some = lambda: "".join(rnd.choice("bdfgklmnprstv") + rnd.choice("aeiou") for _ in range(3))
+    line = lambda: f"The {some()} of the {some()} was {some()} and the {some()} had {some()} in {some()} for {some()} and the {some()} of {some()}."
+    bodies = {k: [line() for _ in range(6)] for k in range(1, 40)}
+    bodies[101] = [f"The loan of the {some()} was loan and the loan had loan in {some()} for loan and the loan of {some()}." for _ in range(8)]
+    bodies[102] = [f"The {some()} {some()} of the cheap shoe {some()} and the old lamp {some()} in the cheap shoe {some()} for the old lamp {some()} of it." for _ in range(8)]
+    bodies[103] = ["Call the shop in the market for the offer of the week and the gift of the season in the hall of the town."] * 8
+    bodies[104] = [f"The {some()}, {some()}, {some()}, the {some()}, {some()}, {some()}, of {some()}, {some()}, in {some()}, {some()}, {some()}, the {some()}." for _ in range(8)]
+    bodies[105] = [f"The {some()} of the {some()} in the {some()} of {some()}" for _ in range(8)]
+    bodies[106] = [" ".join(some() for _ in range(20)) for _ in range(8)]
+    rows = [(k, f"https://www.site{k % 7}.example/p/{k}", "t", "\n".join(b), [("u", x) for x in b] if k == 105 else [], "en", 1, 200, None, None) for k, b in bodies.items()]
+    got = {r.page_id: r for r in content.page_measures(spark.createDataFrame(rows, PAGE)).collect()}
+    for k, m in enumerate(columns, 101):
+        usual = max(got[i][f"{m}_share"] for i in range(1, 40))
+        assert got[k][f"{m}_share"] > usual + 0.2, (m, got[k])
+        assert m == "bare" or got[k][f"{m}_share"] > got[k][f"{m}_limit"], (m, got[k])
+    assert all(not got[i].spam for i in range(1, 40)) and {k for k in got if got[k].spam} >= {101, 103, 104, 106}
+
+
 def test_p7_stuffed_sentences(spark):
     rnd = random.Random(7)
     vocabulary = ["".join(rnd.choice("bdfgklmnprstv") + rnd.choice("aeiou") for _ in range(3)) for _ in range(3000)]
@@ -126,6 +178,14 @@ def test_p2(spark, pages):
     seg = [(r.lang, r.confidence) for r in lang_id.page_segments(wrong).where("page_id = 4").orderBy("segment").collect()]
     assert [s[0] for s in seg] == ["en", "fr"] and all(0 < s[1] <= 1 for s in seg)
     assert lang_id.wrong_labels(wrong.limit(0)).count() == 0
+    extra = [(950, "https://site2.example/short", "t", "le pont près de la mairie\nles habitants de la ville", None, None, 1, 200, None, None), (951, "https://site2.example/n", "t", "12 34\n\n7", None, "en", 1, 200, None, None)]
+    every = {}
+    for r in lang_id.page_labels(wrong.union(spark.createDataFrame(extra, PAGE))).collect():
+        every.setdefault(r.page_id, []).append((r.lang, r.basis, r.confidence))
+    assert set(every) == {p[0] for p in corpus()[0] if p[0] and p[7] == 200} | {950, 951}
+    assert sorted(x[:2] for x in every[4]) == [("en", "paragraphs"), ("fr", "paragraphs")]
+    assert [x[:2] for x in every[950]] == [("fr", "lines")] and every[951] == every[901] == every[902] == [(None, "none", None)]
+    assert every[900][0][1] == "lines" and every[900][0][0] is not None
 
 
 def test_declared(spark):
