@@ -1,40 +1,17 @@
-"""Lines of crawled pages, and how often a wording stands on a site; shared by several operators."""
+"""Crawled pages and their keys; shared by several operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.urls import path_of, registrable_domain
-
-#: Parts into which the occurrences of one wording are spread for joins.
-SALTS = 16
-
-
-def letters(text: Column) -> Column:
-    """The letters of a text alone, in lower case."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", "")
-
+from quern.functions.urls import path_of
 
 def fetched(pages: DataFrame) -> DataFrame:
     """Pages with status 200 and a page id."""
     return pages.where((F.col("status") == 200) & F.col("page_id").isNotNull())
 
 
-def page_lines(pages: DataFrame, *extra: Column) -> DataFrame:
-    """(page_id, url, site, line_no, line, *extra): the non-blank lines of the fetched pages.
-
-    Lines are numbered from 1, blank ones included in the count; ``line`` keeps its spaces. A NULL or
-    blank body has no lines. ``site`` is NULL where the address has no host.
-    """
-    rows = fetched(pages).where(F.col("body_text").isNotNull()).select(
-        "page_id", "url", registrable_domain(F.col("url")).alias("site"), *extra, F.posexplode(F.split("body_text", "\n")).alias("pos", "line")
-    )
-    kept = rows.where(F.col("line").rlike(r"[^\s ]"))
-    names = [c for c in kept.columns if c not in ("pos", "line")]
-    return kept.select(*names, (F.col("pos") + 1).cast("int").alias("line_no"), "line")
-
-
 def address_key(url: Column) -> Column:
     """Hash of the raw address."""
     return F.xxhash64(url)
@@ -43,19 +20,3 @@ def address_key(url: Column) -> Column:
 def page_key(url: Column) -> Column:
     """Hash of the path without ending: the same for a page's addresses with other scheme, host prefix, query or fragment."""
     return F.xxhash64(F.regexp_replace(F.lower(path_of(url)), r"(\.[a-z]{2,5})?/*$", ""))
-
-
-def wording_counts(lines: DataFrame, address: str, *keys: str) -> DataFrame:
-    """(*keys, df): on how many different addresses each key stands. Two partial aggregations, no hot task."""
-    return lines.select(*keys, address).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
-
-
-def join_repeated(lines: DataFrame, repeated: DataFrame, keys: list[str], spread_by: str, how: str = "inner") -> DataFrame:
-    """Join lines with the table of repeated wordings.
-
-    One wording may stand on every page of the largest site, so its lines are spread over SALTS
-    parts and the (much smaller) table of wordings is repeated for each.
-    """
-    salted = repeated.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    spread = lines.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [*keys, "__salt"], how).drop("__salt")

@@ -91,6 +91,51 @@ def test_p5_clusters_count_addresses(spark):
     assert site_lines.repeated_lines(table).count() == 0
 
 
+def test_p5_links_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    kinds = [[rnd.choice(words) for _ in range(rnd.randint(30, 60))] for _ in range(25)]
+
+    def variant(line):  # one or two words changed near the end, where fewer shingles hold them
+        line = list(line)
+        for _ in range(rnd.randint(0, 2)):
+            line[-rnd.randint(1, 6)] = rnd.choice(words)
+        return " ".join(line)
+
+    lines = sorted({variant(rnd.choice(kinds)) for _ in range(400)})
+    rows = [(i, f"https://site{i % 2}.example/{i}", "t", line, None, "en", 1, 200, None, None) for i, line in enumerate(lines)]
+    pages = spark.createDataFrame(rows, PAGE)
+    keyed = site_lines.keyed_lines(pages).cache()
+    key = {r.page_id: (r.skey, r.mkey) for r in keyed.collect()}
+    shingles = {i: {tuple(line.split()[j : j + 5]) for j in range(len(line.split()) - 4)} for i, line in enumerate(lines)}
+    pairs = [(i, j) for i in key for j in key if i < j and i % 2 == j % 2 and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    forms = keyed.where("bands IS NOT NULL").select("skey", "mkey", F.xxhash64("skey", "mkey").alias("node"), "bands")
+    node = {(r.skey, r.mkey): r.node for r in forms.collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        parent[root(i)] = root(j)
+    for crowded in (256, 4):
+        monkeypatch.setattr(site_lines, "CROWDED", crowded)
+        label = {r.node: r.root for r in site_lines.connected(site_lines.similar_forms(pages, keyed, forms)).collect()}
+        of = lambda i: label.get(node[key[i]], node[key[i]])  # noqa: B023, E731
+        assert np.mean([of(i) == of(j) for i, j in pairs]) >= 0.97, crowded
+        # nothing is joined that brute force leaves apart
+        assert len({of(i) for i in key}) >= len({root(i) for i in key})
+
+
+def test_connected_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(50)], "a long, b long")
+    got = {r.node: r.root for r in site_lines.connected(edges).collect()}
+    assert {got[i] for i in range(301)} == {0} and {got[2000 + i] for i in range(50)} == {1000}
+    assert site_lines.connected(edges.limit(0)).count() == 0
+
+
 def test_p4_and_p7(spark, pages):
     want = corpus()[1]
     assert [r.page_id for r in content.keyword_pages(pages).collect()] == [900]
