@@ -187,10 +187,11 @@ def repetition(lines: Lines, wkey: np.ndarray, own: np.ndarray, words: np.ndarra
     covered[at[copies > 1] + 1] = True
     paired = np.bincount(w["line"][covered], minlength=n)
     number = np.bincount(w["line"], minlength=n)
-    some = np.flatnonzero(own & (wkey != 0))
-    again = number.copy()
-    again[np.setdiff1d(np.arange(n), some)] = 0
-    _, first = np.unique(np.stack([of[some], wkey[some]]), axis=1, return_index=True)
+    counted = own & (wkey != 0)
+    some = np.flatnonzero(counted)
+    with np.errstate(over="ignore"):
+        _, first = np.unique(mix(wkey[some] + mix(of[some].astype(U64) + U64(1))), return_index=True)
+    again = np.where(counted, number, 0)
     again[some[first]] = 0
     signs = np.bincount(lines.line_of, weights=among(lines.low, LISTING), minlength=n)
     listed = np.where(own & (signs >= 2) & (signs * LIST_WORDS >= number), number, 0)

@@ -81,7 +81,8 @@ class _WordCounts:
         if not len(of):
             return
         # distinct words of each page, with their places
-        order = np.lexsort((word, of))
+        with np.errstate(over="ignore"):
+            order = np.argsort(mix(word + mix(of.astype(U64) + U64(1))))
         of, word, told = of[order], word[order], told[order]
         new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (of[1:] != of[:-1]))))
         places = np.add.reduceat(told.astype(np.int64), new)
@@ -100,17 +101,17 @@ class _WordCounts:
         return self.held > HELD // 2 and len(self.kept) == 1
 
     def rows(self) -> pd.DataFrame:
-        """Kind 1: pages with a word; kind 2: its places in sentences; as rows of the first pass."""
+        """Pages with a word, and its places in sentences, as rows of the first pass."""
         if not self.kept:
             return pd.DataFrame()
         got = self._merge(self.kept)
         self.kept, self.held = [], 0
-        some = got[:, got[3] > 0]
-        size = got.shape[1] + some.shape[1]
-        return pd.DataFrame({
-            "kind": np.repeat(np.array([1, 2], np.int32), [got.shape[1], some.shape[1]]), "skey": np.concatenate([got[0], some[0]]),
-            "pkey": np.concatenate([got[2], some[3]]), "wkey": np.concatenate([got[1], some[1]]), "names": [np.zeros(0, np.int64)] * size, "notice": False,
-        })
+        return _rows(1, got[0], got[2], got[1], got[3])
+
+
+def _rows(kind: int, skey: np.ndarray, pkey: np.ndarray, wkey: np.ndarray, places: np.ndarray | int = 0, names: list | None = None, notice: np.ndarray | bool = False) -> pd.DataFrame:
+    """Rows of the first pass; kind 0: lines, 1: words by language, 3: openings of lines."""
+    return pd.DataFrame({"kind": np.int32(kind), "skey": skey, "pkey": pkey, "wkey": wkey, "places": places, "names": names if names is not None else np.full(len(skey), None, dtype=object), "notice": notice})
 
 
 def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,16 +139,15 @@ def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             lo, hi = np.searchsorted(line, keep, "left"), np.searchsorted(line, keep, "right")
             of = lines.text_of[keep]
-            yield pd.DataFrame({
-                "kind": np.int32(0), "skey": part["skey"].to_numpy()[of], "pkey": part["pkey"].to_numpy()[of], "wkey": wkey[keep].view(np.int64),
-                "names": [pair[a:b] for a, b in zip(lo, hi, strict=True)], "notice": copyright_[keep],
-            })
+            yield _rows(0, part["skey"].to_numpy()[of], part["pkey"].to_numpy()[of], wkey[keep].view(np.int64), 0, [pair[a:b] for a, b in zip(lo, hi, strict=True)], copyright_[keep])
             before = lines.letters_before(first_separator(lines)).view(np.int64)
             some = np.flatnonzero((before != 0) & ~title)
-            opened = np.unique(np.stack([part["skey"].to_numpy()[lines.text_of[some]], before[some]], axis=1), axis=0)
             if not len(some):
                 continue
-            yield pd.DataFrame({"kind": np.int32(3), "skey": opened[:, 0], "pkey": np.int64(0), "wkey": opened[:, 1], "names": [np.zeros(0, np.int64)] * len(opened), "notice": False})
+            skey, before = part["skey"].to_numpy()[lines.text_of[some]], before[some]
+            with np.errstate(over="ignore"):
+                _, once = np.unique(mix(before.view(U64) + mix(skey.view(U64))), return_index=True)
+            yield _rows(3, skey[once], np.zeros(len(once), np.int64), before[once])
     if len(got := counts.rows()):
         yield got
 
@@ -162,11 +162,11 @@ def first_pass(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     names_of = declared(F.col("lang"))
     code = F.when(F.size(names_of) == 1, F.coalesce(F.array_position(F.array(*map(F.lit, CODES)), names_of[0]).cast("int") - 1, F.lit(-1))).otherwise(-1)
     rows = site_pages(pages, "lang").withColumn("lang", code)
-    found = rows.select("skey", "pkey", "lang", "title", "body_text").mapInPandas(_first, "kind int, skey bigint, pkey bigint, wkey bigint, names array<bigint>, notice boolean")
+    found = rows.select("skey", "pkey", "lang", "title", "body_text").mapInPandas(_first, "kind int, skey bigint, pkey bigint, wkey bigint, places bigint, names array<bigint>, notice boolean")
     # one row a wording and page; the words' partial counts pass through the same exchange
-    per = found.groupBy("kind", "skey", "wkey", "pkey").agg(F.count(F.lit(1)).alias("c"), F.min("names").alias("names"), F.max("notice").alias("notice"))
+    per = found.groupBy("kind", "skey", "wkey", "pkey").agg(F.count(F.lit(1)).alias("c"), F.sum("places").alias("places"), F.min("names").alias("names"), F.max("notice").alias("notice"))
     n = F.when(F.col("kind") == 0, F.lit(1)).otherwise(F.col("pkey") * F.col("c"))
-    words = stored(per.groupBy("kind", "skey", "wkey").agg(F.sum(n).alias("df"), F.min("names").alias("names"), F.max("notice").alias("notice")))
+    words = stored(per.groupBy("kind", "skey", "wkey").agg(F.sum(n).alias("df"), F.sum("places").alias("places"), F.min("names").alias("names"), F.max("notice").alias("notice")))
     site_words = words.where("kind = 0")
     # repeated lines count most; where a site has few pages, the pair that most of its short lines share
     again = F.when(F.col("notice"), 3).when(F.col("df") >= 2, 1).otherwise(0)
@@ -179,8 +179,7 @@ def first_pass(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     )
     counts = rows.select("skey", "pkey").distinct().groupBy("skey").agg(F.count(F.lit(1)).alias("pages"))
     sites = stored(counts.join(votes, "skey", "left"))
-    of_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("df")).otherwise(0))
-    counted = words.where("kind IN (1, 2)").groupBy(F.col("skey").cast("int").alias("lang"), F.col("wkey").alias("word")).agg(of_kind(1).alias("n"), of_kind(2).alias("places"))
+    counted = words.where("kind = 1").select(F.col("skey").cast("int").alias("lang"), F.col("wkey").alias("word"), F.col("df").alias("n"), "places")
     return sites, site_words.select("skey", "wkey", "df"), words.where("kind = 3").select("skey", "wkey"), counted
 
 
