@@ -4,7 +4,9 @@ Exact-complement hashing. Only how many items there are of each length matters f
 no more lengths than the capacity: the plan is made from that histogram on the driver, whose size does not
 grow with the data. Going down the lengths, the gap an item leaves is looked up among the sums of one, two
 and three available lengths, and combinations that fill it exactly are consumed as often as the counts
-allow. What is left is placed by best fit. Items over the capacity are cut into full pieces and a rest.
+allow, until none is left. The indices are addressed by the sum itself: the counts of single lengths, and
+the number of pairs by their sum, which also gives the triples by what is left of the gap. What remains is
+placed by best fit. Items over the capacity are cut into full pieces and a rest.
 The plan's runs of like containers are then dealt to the items by their position within their length.
 """
 
@@ -22,7 +24,7 @@ from quern.llm.tokens import VOCABULARY, token_counts
 from quern.operators.ordered import running_sums
 from quern.session import read_table, stored
 
-MAX_CAPACITY = 65_536
+STALE = 64  # lookups of pairs that are no longer there after which the index of pairs is made anew
 
 
 def _take(count: np.ndarray, parts: Sequence[int]) -> int:
@@ -49,52 +51,46 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         out.append((parts, n))
         return True
 
+    def pairs_of(total: int) -> np.ndarray:
+        """The lesser lengths of the available pairs with this sum."""
+        half = total // 2
+        return np.flatnonzero((count[1 : half + 1] > 0) & (count[total - half : total][::-1] > 0)) + 1
+
+    def pair_index() -> np.ndarray:
+        """By sum up to the capacity: the number of ordered pairs of available lengths."""
+        there = (count > 0).astype(float)
+        there[0] = 0
+        size = 1 << (2 * capacity + 2).bit_length()
+        return np.rint(np.fft.irfft(np.fft.rfft(there, size) ** 2, size))[: capacity + 1] > 0
+
     if count[capacity]:
         consume((capacity,))
+    index, stale = pair_index(), 0
     for length in range(capacity - 1, 0, -1):
         gap = capacity - length
         if not count[length]:
             continue
         # one
-        consume((length, gap)) if gap else None
-        # two: the largest partner first
-        while count[length]:
-            have = count[: gap + 1] > 0
-            pairs = np.flatnonzero(have[1:gap] & have[1:gap][::-1]) + 1 if gap > 1 else []
-            taken = False
-            for a in pairs:
-                if 2 * a > gap or not count[length]:
+        consume((length, gap))
+        # two: the largest partner first. Counts only fall, so the index may show too much but nothing too little
+        if count[length] and index[gap]:
+            for a in pairs_of(gap):
+                if not count[length]:
                     break
-                taken |= consume((length, int(gap - a), int(a)))
-            if not taken:
+                consume((length, int(gap - a), int(a)))
+        # three: each third length with all the pairs that complete it; after this no triple is left
+        thirds = np.flatnonzero((count[1:gap] > 0) & index[1:gap][::-1])[::-1] + 1 if count[length] and gap > 2 else []
+        for c in thirds:
+            if not count[length]:
                 break
-        # three: sums of two are hashed, the third completes them
-        tries = 0
-        while count[length] and gap > 2 and tries < 64:
-            tries += 1
-            have = np.flatnonzero(count[1:gap]) + 1
-            if not len(have):
-                break
-            ind = np.zeros(gap + 1)
-            ind[have] = 1
-            size = 1 << (2 * gap + 2).bit_length()
-            sums = np.rint(np.fft.irfft(np.fft.rfft(ind, size) ** 2, size))[: gap + 1]
             taken = False
-            for c in have[::-1]:
-                if sums[gap - c] < 1:
-                    continue
-                rest = gap - int(c)
-                firsts = np.flatnonzero((count[1:rest] > 0) & (count[1:rest][::-1] > 0)) + 1
-                for a in firsts:
-                    if 2 * a > rest:
-                        break
-                    if consume((length, int(c), int(rest - a), int(a))):
-                        taken = True
-                        break
-                if taken or not count[length]:
+            for a in pairs_of(gap - int(c)):
+                if not count[length] or not count[c]:
                     break
-            if not taken:
-                break
+                taken |= consume((length, int(c), int(gap - c - a), int(a)))
+            stale += not taken
+        if stale > STALE:
+            index, stale = pair_index(), 0
     # what is left: best fit, the longest first; containers of one make are kept together
     gaps: list[int] = []
     groups: dict[int, list[list]] = {}
@@ -135,10 +131,11 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     """(bin, doc_id, piece, tokens): each item in a container; bins are numbered from 0.
 
     ``items`` has doc_id and tokens. Items of 0 tokens, NULL included, need no room and are left out. An item
-    over the capacity becomes full pieces, each a bin of its own, and a rest; others are never cut.
+    over the capacity becomes full pieces, each a bin of its own, and a rest; others are never cut. The plan's
+    time on the driver grows with the number of different lengths, not with that of the items.
     """
-    if not 0 < capacity <= MAX_CAPACITY:
-        raise ValueError(f"a capacity from 1 to {MAX_CAPACITY} is needed")
+    if capacity < 1:
+        raise ValueError("a capacity of 1 or more is needed")
     spark = items.sparkSession
     some = items.where((F.col("tokens") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("tokens").cast("long").alias("tokens"))
     # pieces: a run of full ones as one row, and the rest
@@ -212,5 +209,28 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill}
-ORACLE: dict[str, str] = {}
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per container: documents placed, containers over the capacity, documents whose tokens are not all placed once, and documents cut without need."""
+    counts = stored(token_counts(read_table(spark, sf_dir, "documents")))
+    out = None
+    for name, capacity in _capacities(spark, sf_dir).items():
+        packed = stored(pack(counts, capacity))
+        over = packed.groupBy("bin").agg(F.sum("tokens").alias("t")).agg(F.coalesce(F.sum((F.col("t") > capacity).cast("long")), F.lit(0)).alias("over"))
+        per = packed.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece").alias("different"))
+        j = counts.where("tokens > 0").join(per, "doc_id", "full")
+        lost = ~F.col("tokens").eqNullSafe(F.col("placed")) | (F.col("pieces") != F.col("different"))
+        sums = j.agg(
+            F.count("placed").alias("docs"), F.coalesce(F.sum(F.coalesce(lost, F.lit(True)).cast("long")), F.lit(0)).alias("lost"),
+            F.coalesce(F.sum((F.col("pieces") > F.ceil(F.col("tokens") / capacity)).cast("long")), F.lit(0)).alias("cut"),
+        )
+        one = sums.join(F.broadcast(over)).select(F.lit(name).alias("container"), "docs", "over", "lost", "cut")  # one row each
+        out = one if out is None else out.union(one)
+    return out
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill, "p8_checks": p8_checks}
+# what must hold of any packing
+ORACLE = {
+    "p8_checks": """SELECT container, (SELECT count(DISTINCT doc_id) FROM documents WHERE length(text) > 0) AS docs,
+ CAST(0 AS BIGINT) AS "over", CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS cut FROM container_sizes"""
+}

@@ -338,11 +338,15 @@ def test_p8(spark):
     assert packing.pack(items.limit(0), 100).count() == 0
     with pytest.raises(ValueError):
         packing.pack(items, 0)
+    # triples of one third length with many pairs are used up
+    many = {70: 200} | {10: 200} | {a: 2 for a in range(1, 20) if a != 10}
+    full = packing.plan(many, 100)
+    assert sum(n for p, n in full if sum(p) == 100 and 70 in p) >= 75
     plan = packing.plan({60: 10, 40: 7, 20: 6, 25: 4}, 100)
     assert sum(n * sum(p) for p, n in plan) == 60 * 10 + 40 * 7 + 20 * 6 + 25 * 4 and all(sum(p) <= 100 for p, _ in plan)
 
 
-def test_p9(spark):
+def test_p9(spark, monkeypatch):
     rnd = random.Random(6)
     words = {"web": "bridge market council water".split(), "forum": "lol thread reply posted".split(), "rare": "archive folio vellum codex".split()}
     rows = []
@@ -357,9 +361,35 @@ def test_p9(spark):
     rep = {r.source: r for r in mixing.share_report(drawn, targets).collect()}
     assert rep["none"].tokens == 0 and all(r.most_copies <= r.max_repeats for r in rep.values())
     assert all(abs(rep[s].share - t / 0.95) < 0.02 for s, t in (("web", 0.5), ("forum", 0.2), ("rare", 0.25)))
+    # a total that the caps can't reach is reported; groups fitted in tasks give the same rates
+    groups = spark.createDataFrame([(0, [64, 0], 1000), (1, [0, 64], 500), (0, [40, 24], 300), (1, [10, 54], 200)], "k int, parts array<int>, tokens long")
+    fit = lambda **o: mixing.fit_rates(groups, np.array([0.5, 0.5]), np.array([1.0, 2.0]), **o)
+    assert fit()[2] <= 1e-5
+    monkeypatch.setattr(mixing, "ROUNDS", {True: 12, False: 12})
+    here, there = fit(), fit(max_groups=1)
+    assert here[2] == pytest.approx(there[2]) and {(r.k, tuple(r.parts)): r.rate for r in here[0].collect()} == {(r.k, tuple(r.parts)): r.rate for r in there[0].collect()}
+    with pytest.warns(UserWarning):
+        assert fit(total=50_000)[2] > 0.1
+    monkeypatch.undo()
+    some = {r.source: r.tokens for r in mixing.share_report(mixing.draw(docs, targets, total=2000), targets).collect()}
+    assert abs(sum(some.values()) - 2000 * 0.95) < 60
     assert mixing.draw(docs.limit(0), targets).count() == 0 and mixing.draw(docs, targets.limit(0)).count() == 0
 
 
+def test_p9_giants_are_not_left_out_by_size(spark):
+    # one text of most of its source's tokens, which the share needs
+    texts = [(i, "word " * 20, "web") for i in range(200)] + [(900, "folio " * 1500, "rare")] + [(901 + i, "folio " * 30, "rare") for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("web", 0.5, 1), ("rare", 0.5, 4)], "source string, target_share double, max_repeats int")
+    rep = {r.source: r for r in mixing.share_report(mixing.draw(docs, targets), targets).collect()}
+    assert abs(rep["rare"].share - 0.5) < 0.02, rep
+    assert in_sum() == mixing.GRID
+
+
+def in_sum():
+    return int(mixing.in_parts(np.array([0.333, 0.333, 0.334])).sum())
+
+
 def test_p9_classifier_on_held_out():
     rnd = random.Random(7)
     words = {0: "bridge market council water".split(), 1: "lol thread reply posted".split()}
