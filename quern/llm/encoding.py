@@ -11,27 +11,29 @@ Runs. In each text the maximal scoring segments of these scores are the improbab
 Mappings. Only inside runs inverse mappings are tried: back to bytes by a wrongly used code page
 and on to UTF-8, again if the result is still garbled, and latin-1 to cp1252 for stray controls. A
 mapping holds if every multi-byte sequence is well formed; one whose bytes were partly lost
-restores what is there and leaves U+FFFD for the lost letter.
+restores what is there and leaves U+FFFD for the lost letter. A sequence whose second byte, a hard space,
+became a plain one is completed. Lost letters count only within improbable runs, by the scores of their pairs.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import read_table
+from quern.session import ensure_checkpoint_dir, read_table, stored
 
 #: Code pages by which UTF-8 is often misread, the commonest first.
 CODE_PAGES = ["cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "cp850", "cp1250", "iso8859-15", "cp1254", "koi8-r"]
-#: Alphabets of more different pairs than this are refused for broadcast (about 24 bytes each).
-MAX_PAIRS = 4_000_000
+MAX_PAIRS = 4_000_000  # pairs that are sent to every Python worker (16 bytes each); more are a file that an executor's workers map
 UNSEEN, EXPECTED = 0.02, 0.5  # smoothing of joint and expected counts
 ASCII_SCORE = -1.0
 BIAS = 1.0  # pairs count as improbable from this negative information on
@@ -128,22 +130,26 @@ class PairScores:
     """Scores of character pairs; positive where a pair is improbable."""
 
     def __init__(self, chars: dict[int, int], pairs: np.ndarray, counts: np.ndarray):
+        """``pairs`` ascending."""
         self.tried: dict[str, tuple[str, str] | None] = {}  # short runs come again and again
-        order = np.argsort(pairs)
-        self.pairs, self.counts = pairs[order], counts[order].astype(np.float64)
+        self.pairs, self.counts = pairs, counts
         self.total = float(max(1, sum(chars.values())))
         top = max(chars, default=0) + 1
         self.freq = np.zeros(top + 1)
         for code, n in chars.items():
             self.freq[code] = n
 
+    def joint(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How often coherent words show each pair, but for once: a pair is no evidence for itself."""
+        key = (a.astype(np.int64) << 21) | b.astype(np.int64)
+        if not len(self.pairs):
+            return np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, np.maximum(self.counts[at] - 1.0, 0.0), 0.0)
+
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Score of each pair beyond ASCII."""
-        key = (a.astype(np.int64) << 21) | b.astype(np.int64)
-        joint = np.zeros(len(key))
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            joint = np.where(self.pairs[at] == key, self.counts[at], 0.0)
+        joint = self.joint(a, b)
         known = len(self.freq) - 1
         expect = self.freq[np.minimum(a, known)] * self.freq[np.minimum(b, known)] / self.total
         return -np.log((joint + UNSEEN) / (expect + EXPECTED))
@@ -262,7 +268,7 @@ def _restore(run: str, scores: PairScores) -> tuple[str, str] | None:
     best: tuple[float, str, str] | None = None
     for page in CODE_PAGES:
         got = _undo(run, page)
-        if got is None or (got[1] == 0 and not (got[2] and _broken_holds(run))):
+        if got is None or (got[1] == 0 and not (got[2] and _unseen(run, scores))):
             continue
         text, lossy, names = got[0], got[2], page
         for _ in range(2):  # garbled more than once
@@ -287,12 +293,30 @@ def _restore(run: str, scores: PairScores) -> tuple[str, str] | None:
 _CONTROLS = re.compile("[\x80-\x9f]")
 
 
-def _broken_holds(run: str) -> bool:
-    """A cut sequence alone is taken for garbling only with a quote's or sign's first bytes."""
-    return bool(re.search("â€|â‚|в‚|вЂ|‚Ä|Γé|ΓÇ|Ôé|ÔÇ|à[¤¥®¯]", run))
+def _unseen(run: str, scores: PairScores) -> bool:
+    """A cut sequence alone is taken for garbling only if coherent words show none of its inner pairs."""
+    flat = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    a, b = flat[:-1], flat[1:]
+    both = (a > 127) & (b > 127)
+    return bool(both.any() and (scores.joint(a[both], b[both]) == 0).all())
+
+
+_LEADING = re.compile(r"(?<![^\s(\"'“«])[ÃÂ](?=[\s,.;:!?]|$)")
 
 
-_ALONE = re.compile(r"(?<![^\s(\"'“«])[ÃÂ](?=[\s,.;:!?]|$)")
+def _completed(text: str, start: int, end: int, scores: PairScores) -> tuple[int, int, str, str] | None:
+    """A first byte that stands alone in a run, whose second one, a hard space, became a plain one or none."""
+    m = _LEADING.search(text, max(0, start - 1), min(len(text), end + 1))
+    if m is None or m.start() < start:
+        return None
+    fixed = (text[m.start()] + "\xa0").encode("latin-1").decode("utf-8").replace("\xa0", "")
+    edge = slice(max(0, m.start() - 1), m.start()), slice(m.end(), m.end() + 1)
+    around = lambda x: text[edge[0]] + x + text[edge[1]]
+    if _plausible(around(fixed), scores) >= _plausible(around(m.group()), scores):
+        return None
+    # the hard space, if it is still there as a plain one before another
+    after = m.end() + text.startswith("  ", m.end())
+    return m.start(), after, fixed, "cp1252+space"
 
 
 def examine(text: str, flat: np.ndarray, scores: PairScores) -> tuple[bool, str, list[tuple[int, int, str, str]]]:
@@ -310,11 +334,8 @@ def examine(text: str, flat: np.ndarray, scores: PairScores) -> tuple[bool, str,
             found.append((start, end, *got))
         elif _LOST in text[start:end]:
             found.append((start, end, text[start:end], "lost"))
-        elif (m := _ALONE.search(text, max(0, start - 1), min(len(text), end + 1))) and m.start() >= start:
-            found.append((start, end, text[start:end], "lost"))
-    if not found and _LOST in text:
-        at = text.index(_LOST)
-        found.append((at, at + 1, _LOST, "lost"))
+        elif got := _completed(text, start, end, scores):
+            found.append(got)
     out, last = [], 0
     for start, end, fixed, _ in found:
         out += [text[last:start], fixed]
@@ -323,25 +344,56 @@ def examine(text: str, flat: np.ndarray, scores: PairScores) -> tuple[bool, str,
     return bool(found), "".join(out), found
 
 
+class PairFile:
+    """Sorted pairs and their counts in one file that Spark hands to each executor; its workers share the mapped pages."""
+
+    def __init__(self, pairs: DataFrame):
+        spark = pairs.sparkSession
+        self.n = pairs.count()
+        self.path = f"{ensure_checkpoint_dir(spark)}/quern-pairs-{uuid.uuid4().hex}"
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(self.path)
+        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+        for column in ("code", "n"):  # one after the other; a part at a time is here
+            part: list[int] = []
+            for row in pairs.orderBy("code").select(column).toLocalIterator():
+                part.append(row[0])
+                if len(part) == 1 << 18:
+                    out.write(bytearray(np.array(part, dtype=np.int64).tobytes()))
+                    part = []
+            out.write(bytearray(np.array(part, dtype=np.int64).tobytes()))
+        out.close()
+        spark.sparkContext.addFile(self.path)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        both = np.memmap(SparkFiles.get(self.path.rsplit("/", 1)[1]), dtype=np.int64, mode="r")
+        return both[: self.n], both[self.n :]
+
+
 def garbled_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, restored, runs, lost, mappings): documents with garbled stretches and their restored text.
 
     Statistics come from all texts; NULL and blank texts, and rows without id, are never garbled. Rows
     are examined as they are, so a repeated row gives the same row again, once. ``lost`` says that
     letters could not be brought back. The pair table depends on the alphabets, not on the number of
-    documents; more than MAX_PAIRS pairs are refused.
+    documents; one of more than MAX_PAIRS rows is shared as a file.
     """
     spark = docs.sparkSession
-    table = pair_counts(docs)
-    got = table.where((F.col("kind") == 0) | (F.col("n") >= 2)).limit(MAX_PAIRS + 1).toPandas()
-    if len(got) > MAX_PAIRS:
-        raise ValueError("too many different character pairs to send to every task")
-    is_char = got["kind"].to_numpy() == 0
-    chars = dict(zip(got["code"].to_numpy()[is_char].tolist(), got["n"].to_numpy()[is_char].tolist(), strict=True))
-    shared = spark.sparkContext.broadcast((chars, got["code"].to_numpy()[~is_char], got["n"].to_numpy()[~is_char]))
+    table = stored(pair_counts(docs))
+    # characters: no more than Unicode has
+    got = table.where("kind = 0").select("code", "n").toPandas()
+    chars = dict(zip(got["code"].tolist(), got["n"].tolist(), strict=True))
+    pairs = table.where("kind = 1").select("code", "n")
+    if pairs.limit(MAX_PAIRS + 1).count() > MAX_PAIRS:
+        held = PairFile(pairs)
+    else:
+        few = pairs.toPandas().sort_values("code")
+        held = (few["code"].to_numpy(), few["n"].to_numpy())
+    shared = spark.sparkContext.broadcast((chars, held))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = PairScores(*shared.value)
+        chars, held = shared.value
+        scores = PairScores(chars, *(held.arrays() if isinstance(held, PairFile) else held))
         for pdf in batches:
             rows = []
             for key, text in zip(pdf["key"], pdf["text"], strict=True):

@@ -239,7 +239,7 @@ def test_declared(spark):
     assert got == [["en"], ["hi"], ["en", "ta"], [], [], [], ["de"], ["?"], ["en"]]
 
 
-def test_p10_round_trip(spark):
+def test_p10_round_trip(spark, monkeypatch):
     texts = ["Une journée à l’été dernier, déjà près du marché à côté.", "पुराने पुल की मरम्मत 7 हफ्ते चली", "“We did not expect so many,” she said for ₹50", "São João não está à venda, você é", "Łódź, Ταβέρνα, Кафе, ½ kg at 24 °C 🙂", "plain text"]
     clean = [t + f" {i}" for i in range(30) for t in texts]
     bad = [(1000, texts[0].encode().decode("latin-1"), texts[0]), (1001, texts[1].encode().decode("latin-1"), texts[1]), (1002, texts[2].encode().decode("mac_roman"), texts[2]), (1003, texts[3].encode().decode("cp437"), texts[3]), (1004, "It isn�t open", None), (1005, texts[3].encode().decode("latin-1").encode().decode("latin-1"), texts[3])]
@@ -249,6 +249,28 @@ def test_p10_round_trip(spark):
     assert set(got) == {i for i, *_ in bad}
     assert all(got[i] == t for i, _, t in bad if t)
     assert encoding.garbled_documents(df.limit(0)).count() == 0
+    monkeypatch.setattr(encoding, "MAX_PAIRS", 10)  # the table of pairs as a file
+    assert {r.doc_id: r.restored for r in encoding.garbled_documents(df).collect()} == got
+
+
+def test_p10_restores_known_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect()
+    suspect = {r.doc_id for r in encoding.garbled_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    clean = [(r.doc_id, r.text) for r in docs if r.doc_id not in suspect and not r.text.isascii()]
+    bad, n = {}, 0
+    for page in ("cp1252", "latin-1", "mac_roman", "cp437"):
+        for k, text in clean:
+            try:
+                garbled = text.encode().decode(page)
+            except UnicodeDecodeError:
+                continue
+            n += 1
+            bad[1_000_000 + n] = (garbled, text)
+    rows = [(r.doc_id, r.text) for r in docs] + [(k, g) for k, (g, _) in bad.items()]
+    got = {r.doc_id: r.restored for r in encoding.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(bad) > 40 and np.mean([k in got for k in bad]) > 0.97
+    assert np.mean([got.get(k) == t for k, (_, t) in bad.items()]) > 0.9
+    assert not {k for k, _ in clean} & set(got)
 
 
 def test_p6(spark):
