@@ -254,7 +254,7 @@ def test_p10_round_trip(spark, monkeypatch):
 
 
 def test_p10_restores_known_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect()
     suspect = {r.doc_id for r in encoding.garbled_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     clean = [(r.doc_id, r.text) for r in docs if r.doc_id not in suspect and not r.text.isascii()]
     bad, n = {}, 0
