@@ -94,9 +94,43 @@ def cells_covering(lat: Column, lon: Column, radius_m: Column, precision: int) -
     return F.array_distinct(grid)
 
 
+def cell_size(precision: int, lat: Column) -> Column:
+    """struct(height_m, width_m) of a cell at a latitude."""
+    nx, ny = _bits(precision)
+    metre = math.pi * EARTH_RADIUS_M / 180
+    return F.struct(F.lit(180 / (1 << ny) * metre).alias("height_m"), (F.lit(360 / (1 << nx) * metre) * F.cos(F.radians(lat))).alias("width_m"))
+
+
+def tiles_for_circle(lat: Column, lon: Column, radius_m: Column, precision: int = 5) -> Column:
+    """Distinct cells that a circle touches, the centre's among them; NULL where a number is."""
+    cells = cells_covering(lat, lon, radius_m, precision)
+
+    def touches(cell: Column) -> Column:
+        box = cell["box"]
+        # across the 180th meridian the near side counts
+        off = lon - box["lon"]
+        off = off - F.round(off / 360) * 360
+        nearest = F.greatest(-box["half_lat"], F.least(box["half_lat"], lat - box["lat"])) + box["lat"]
+        beside = off - F.greatest(-box["half_lon"], F.least(box["half_lon"], off))
+        return great_circle_m(lat, F.lit(0.0), nearest, beside) <= radius_m
+
+    boxed = F.transform(cells, lambda c: F.struct(c.alias("cell"), geohash_box(c).alias("box")))
+    return F.array_distinct(F.concat(F.transform(F.filter(boxed, touches), lambda x: x["cell"]), F.array(geohash(lat, lon, precision))))
+
+
+def tile_bounds(cell: Column) -> Column:
+    """struct(lat, lon, radius_m): the centre of a cell, and 1.05 times the distance of its corner."""
+
+    def bounds(box: Column) -> Column:
+        corner = great_circle_m(box["lat"], box["lon"], box["lat"] + box["half_lat"], box["lon"] + box["half_lon"])
+        return F.when(box.isNotNull(), F.struct(box["lat"].alias("lat"), box["lon"].alias("lon"), (1.05 * corner).alias("radius_m")))
+
+    return F.get(F.transform(F.array(geohash_box(cell)), bounds), F.lit(0))  # the box is worked out once
+
+
 def distance_decay(distance_m: Column, scale_m: Column) -> Column:
     """exp(-distance / scale); 0 for a scale that is not positive."""
     return F.when(scale_m > 0, F.exp(-distance_m / scale_m)).otherwise(0.0)
 
 
-__all__ = ["BASE32", "cell_size_m", "cells_covering", "distance_decay", "geohash", "geohash_box", "great_circle_m", "precision_for_radius", "prefixes"]
+__all__ = ["BASE32", "cell_size", "cell_size_m", "cells_covering", "distance_decay", "geohash", "geohash_box", "great_circle_m", "precision_for_radius", "prefixes", "tile_bounds", "tiles_for_circle"]

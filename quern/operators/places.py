@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.geo import cells_covering, distance_decay, geohash
+from quern.functions.geo import cells_covering, distance_decay, geohash, tile_bounds, tiles_for_circle
 from quern.functions.text import normalise_name
 from quern.operators.proximity import great_circle_m, usable_position
 from quern.session import bounded_broadcast
@@ -277,6 +277,71 @@ def stale_tiles(tiles: DataFrame, fetched: DataFrame, regions: DataFrame, now: i
     return tiles.join(recent, "tile", "left_anti").join(inside.select(F.col("id").alias("tile")), "tile", "left_anti")
 
 
+SECONDS_A_TILE = 28  # fixed value: what fetching a tile takes
+
+
+def seed_plan(cities: DataFrame, fetched: DataFrame, now: int, ttl: int, delay_s: int = 0) -> tuple[DataFrame, DataFrame]:
+    """((tile, lat, lon, radius_m), (tiles, seconds)): tiles around cities that are to be fetched, and how long that takes.
+
+    ``cities``: lat, lon, radius_m; tiles fetched within ``ttl`` seconds are left out.
+    """
+    tiles = cities.where(usable_position(F.col("lat"), F.col("lon"))).select(F.explode(tiles_for_circle(F.col("lat"), F.col("lon"), F.col("radius_m"))).alias("tile")).distinct()
+    fresh = fetched.where((F.lit(now) - F.col("fetched_at")) < ttl).select("tile").distinct()
+    todo = tiles.join(fresh, "tile", "left_anti").select("tile", tile_bounds(F.col("tile")).alias("b")).select("tile", "b.*")
+    return todo, todo.agg(F.count(F.lit(1)).alias("tiles"), (F.count(F.lit(1)) * (SECONDS_A_TILE + delay_s)).alias("seconds"))
+
+
+def mark_fetched(marks: DataFrame, new: DataFrame, key: str = "tile") -> DataFrame:
+    """Marks of ``key`` and fetched_at with new ones added: of each key the new one counts, and of several the latest."""
+    return upsert_latest(marks.join(new.select(key).distinct(), key, "left_anti").unionByName(new), key, "fetched_at")
+
+
+def directory_lookup(queries: DataFrame, poi: DataFrame, limit: int = 8) -> DataFrame:
+    """(query_id, id, name, website, place): POIs with an http website whose name or brand holds every word of a query.
+
+    ``queries``: query_id, q. POIs meet queries by their words; ordered by the length of name and brand, then id.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    q = queries.select("query_id", F.array_distinct(words(F.col("q"))).alias("ws")).where(F.size("ws") > 0)
+    p = poi.where(F.col("id").isNotNull() & F.startswith("website", F.lit("http")))
+    p = upsert_latest(p, "id", "ingested_at").select("id", "name", "website", F.concat_ws(" ", "name", "brand").alias("text"))
+    met = p.select("id", "name", "website", F.length("text").alias("n"), F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(q.select("query_id", F.size("ws").alias("all"), F.explode("ws").alias("w")), "w")
+    full = met.groupBy("query_id", "id", "name", "website", "n", "all").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") == F.col("all"))
+    by = Window.partitionBy("query_id").orderBy("n", "id")
+    return full.withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit).select("query_id", "id", "name", "website", "place")
+
+
+SETTLED = ["city", "town", "suburb", "state", "country"]
+
+
+def embedded_place(asked: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """(query_id, place, kind, lat, lon, radius_m, subject, scope_too_broad): a place named inside a query that has no "in" clause.
+
+    ``asked``: query_id, q, lat, lon. The last word of four bytes or more counts that is no category and names a
+    place from suburb to country; queries of one word or with a local marker name none. A state or country
+    is too broad a scope; the subject is the query without the word.
+    """
+    q = asked.where(~has_local_intent(F.col("q")) & split_in_clause(F.col("q")).isNull())
+    words = F.filter(F.split(F.col("q"), r"\s+"), lambda w: w != "")
+    w = q.select("query_id", "q", "lat", "lon", words.alias("ws")).where(F.size("ws") >= 2).select("*", F.posexplode("ws").alias("at", "word"))
+    token = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    w = w.withColumn("token", token).where((F.octet_length("token") >= 4) & ~is_category_word(F.col("token")))
+    key = F.struct("query_id", "at")
+    found = gazetteer_lookup(w.select(key.alias("query_id"), F.col("token").alias("name"), "lat", "lon"), gazetteer).where(F.col("kind").isin(SETTLED))
+    last = Window.partitionBy("query_id").orderBy(F.col("at").desc())
+    f = found.select("query_id.query_id", "query_id.at", F.col("name").alias("place"), "kind", "lat", "lon").withColumn("r", F.row_number().over(last)).where("r = 1").drop("r")
+    j = f.join(w.select("query_id", "at", "ws", "token"), ["query_id", "at"])
+    subject = F.array_join(F.filter("ws", lambda x: F.lower(x) != F.lower(F.col("token"))), " ")
+    return j.select("query_id", "place", "kind", "lat", "lon", default_radius_m(F.col("kind")).alias("radius_m"), subject.alias("subject"), F.col("kind").isin("country", "state").alias("scope_too_broad"))
+
+
+def search_bounds(lat: float, lon: float, radius_m: float | None = None, limit: int = 10) -> tuple[float, float, float | None, int]:
+    """The arguments of a nearby search: positions out of range are an error, radius and limit are clamped to 50 to 50 000 m and 1 to 100."""
+    if not (-90 <= lat <= 90 and -180 <= lon <= 180):  # false for NaN as well
+        raise ValueError("a latitude from -90 to 90 and a longitude from -180 to 180 are needed")
+    return lat, lon, None if radius_m is None else min(50_000.0, max(50.0, radius_m)), min(100, max(1, limit))
+
+
 def route(query: Column) -> Column:
     """local for queries that ask for something near or in a place, else both."""
     return F.when(has_local_intent(query) | F.contains(F.lower(query), F.lit(" in ")), "local").otherwise("both")

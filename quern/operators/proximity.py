@@ -15,8 +15,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import bounded_broadcast, stored
+
 EARTH_RADIUS_M = 6_371_008.8  # fixed value: mean Earth radius in metres
 HOT_CELL = 2_000  # points of one cell that one join task may pair; beyond, the cell is split
+MOST_CROWDED = 200_000  # cells, and pieces of regions, that are sent to every task
 
 
 def usable_position(lat: Column, lon: Column) -> Column:
@@ -92,11 +95,13 @@ def near_pairs(points: DataFrame, radius_m: float, id_col: str = "id", lat_col:
         .distinct()
     )
     homes = pts.select("id", "lat", "lon", grid.home(F.col("lat"), F.col("lon")).alias("g")).select("id", "lat", "lon", "g.band", "g.cell")
-    # parts of a crowded cell; a table of crowded cells only, empty as a rule
-    crowded = (
-        homes.groupBy("band", "cell").count().where(F.col("count") > HOT_CELL)
-        .select("band", "cell", F.ceil(F.col("count") / HOT_CELL).cast("int").alias("parts"))
-    )
+    # parts of a crowded cell; a table of crowded cells only, empty as a rule, that goes to every task. It has at
+    # most MOST_CROWDED rows: if more cells than that are crowded, the limit is raised until they are not.
+    full = stored(homes.groupBy("band", "cell").count().where(F.col("count") > HOT_CELL))
+    limit = HOT_CELL
+    while full.where(F.col("count") > limit).limit(MOST_CROWDED + 1).count() > MOST_CROWDED:
+        limit *= 2
+    crowded = F.broadcast(full.where(F.col("count") > limit).select("band", "cell", F.ceil(F.col("count") / limit).cast("int").alias("parts")))
     parts = F.coalesce(F.col("parts"), F.lit(1))
     left = homes.join(crowded, ["band", "cell"], "left").select(
         "band", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")
@@ -172,7 +177,7 @@ def region_of_points(points: DataFrame, regions: DataFrame, id_col: str = "id",
     )
     homes = pts.select("id", "lat", "lon", cell(F.col("lat"), -90.0).alias("cy"), F.least(cell(F.col("lon"), -180.0), F.lit(columns - 1).cast("long")).alias("cx"))
     inside_lon = F.when(west, (F.col("lon") >= F.col("min_lon")) | (F.col("lon") <= F.col("max_lon"))).otherwise(F.col("lon").between(F.col("min_lon"), F.col("max_lon")))
-    found = homes.join(laid, ["cy", "cx"]).where(F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & inside_lon)
+    found = homes.join(bounded_broadcast(laid, MOST_CROWDED), ["cy", "cx"]).where(F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & inside_lon)
     if has_ring:
         found = found.where(F.col("ring").isNull() | _in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
     return found.select("id", "region").distinct()

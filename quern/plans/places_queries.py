@@ -11,11 +11,11 @@ from quern.session import read_table
 
 #: Queries as people type them; the words are everyday English.
 TEXTS = [
-    "cafes near me", "petrol pump", "cheap food nearby", "best coffee shop in town", "Christian Medical College", "pharmacies around here", "gas station",
-    "dry cleaner", "Indiranagar hospital", "zomato", "shops in mall in andheri", "in chennai", "police station near here", "churches", "bus stand", "glass",
+    "cafes near me", "petrol pump", "cheap food nearby", "best coffee shop in town", "Larkspur Dental Institute", "pharmacies around here", "gas station",
+    "dry cleaner", "Velmora hospital", "quillbert", "shops in arcade in tesserin", "in ovaldrin", "police station near here", "churches", "bus stand", "glass",
     "new open gym", "Ostrafel Electronics", "hotels walking distance", "24x7 medical store",
 ]
-PLACE_WORDS = ["indiranagar", "chennai", "andheri", "town"]
+PLACE_WORDS = ["velmora", "ovaldrin", "tesserin", "town"]
 NOW = 1_735_600_000
 TTL = 30 * 86_400
 

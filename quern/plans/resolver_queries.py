@@ -10,10 +10,10 @@ from quern.operators.signals import latest_pages
 from quern.session import read_table
 
 TEXTS = [
-    "saint edmunds school shillong", "valuepickr bajaj finance", "the official radio station", "panjab university", "first government college",
-    "water tank lalpur", "mount board", "a b", "", "of the in", "st mary's hospital", "technology institute campus news",
+    "saint orwins school brellton", "ledgerloft quarry bonds", "the official radio station", "morvane university", "first government college",
+    "water tank dunsley", "mount board", "a b", "", "of the in", "st mary's hospital", "technology institute campus news",
 ]
-PLACES = ["shillong", "lalpur", "panjab"]
+PLACES = ["brellton", "dunsley", "morvane"]
 
 
 def _texts(spark):

@@ -60,12 +60,12 @@ def link_degrees(spark, sf_dir):
     return nodes.join(out, nodes.url == out.src, "left").select("url", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
-PAGERANK_ROUNDS = 10
+PAGERANK_ROUNDS = 60
 
 
 def pagerank(spark, sf_dir):
     nodes, edges = signals.link_graph(signals.latest_pages(_pages(spark, sf_dir)))
-    return signals.pagerank(nodes, edges, PAGERANK_ROUNDS, tolerance=0.0).select("url", F.round("pagerank", 9).alias("pagerank"))
+    return signals.pagerank(nodes, edges, PAGERANK_ROUNDS).select("url", F.round("pagerank", 9).alias("pagerank"))
 
 
 def quality(spark, sf_dir):
@@ -89,7 +89,7 @@ def near_duplicate_pairs(spark, sf_dir):
 
 def near_duplicate_flags(spark, sf_dir):
     """Near-duplicates of page_signals after greedy suppression."""
-    s = read_table(spark, sf_dir, "page_signals").groupBy("url").agg(F.max("simhash").alias("simhash"), F.max(F.nanvl("quality", F.lit(0.0))).alias("quality"))
+    s = read_table(spark, sf_dir, "page_signals").groupBy("url").agg(F.max("simhash").alias("simhash"), F.max(F.nanvl("quality", F.lit(1.0))).alias("quality"))
     return signals.near_duplicates(s)
 
 
@@ -98,16 +98,16 @@ def corpus_statistics(spark, sf_dir):
 
 
 def pages_with_signals(spark, sf_dir):
-    """Pages that an index takes: signals joined from the left with defaults, duplicates and poor pages dropped."""
+    """Pages that an index takes: signals joined from the left with defaults (a quality that is missing or no number is 1), duplicates and poor pages dropped."""
     pages = _pages(spark, sf_dir).where("status = 200").select("page_id", "url")
-    s = read_table(spark, sf_dir, "page_signals").groupBy("url").agg(F.max("quality").alias("quality"), F.max("is_duplicate").alias("dup"), F.max("inbound_domains").alias("inbound"))
+    s = read_table(spark, sf_dir, "page_signals").groupBy("url").agg(F.max(F.nanvl(F.col("quality").cast("double"), F.lit(1.0))).alias("quality"), F.max("is_duplicate").alias("dup"), F.max("inbound_domains").alias("inbound"))
     j = pages.join(s, "url", "left").select("page_id", F.coalesce("quality", F.lit(1.0)).cast("double").alias("quality"), F.coalesce("dup", F.lit(False)).alias("dup"), F.coalesce("inbound", F.lit(0)).alias("inbound_domains"))
     return j.where("NOT dup AND quality >= 0.15").select("page_id", F.round("quality", 6).alias("quality"), "inbound_domains")
 
 
 def page_signals(spark, sf_dir):
     """All signals of each address, computed from the pages."""
-    return signals.page_signals(stored(_pages(spark, sf_dir)), 20)
+    return signals.page_signals(stored(_pages(spark, sf_dir)), PAGERANK_ROUNDS)
 
 
 QUERIES = {
@@ -205,7 +205,18 @@ SELECT a.simhash AS a, b.simhash AS b, CAST(bit_count(xor(a.simhash, b.simhash))
 WHERE bit_count(xor(a.simhash, b.simhash)) <= 3""",
     "corpus_statistics": """SELECT count(*) AS pages, count(*) FILTER (is_duplicate) AS duplicates, count(*) FILTER (quality < 0.2) AS poor,
  count(*) FILTER (coalesce(trim(anchor_text), '') <> '') AS with_anchors FROM page_signals""",
-    "pages_with_signals": """WITH s AS (SELECT url, max(quality) AS quality, max(is_duplicate) AS dup, max(inbound_domains) AS inbound FROM page_signals GROUP BY url)
+    "near_duplicate_flags": """WITH RECURSIVE p AS (SELECT url, max(simhash) AS simhash, max(CASE WHEN isnan(quality) THEN 1.0 ELSE quality END) AS quality FROM page_signals GROUP BY url),
+o AS (SELECT *, row_number() OVER (ORDER BY -coalesce(quality, 0.0), length(url), url) AS k FROM p),
+f AS (SELECT *, simhash <> 0 AND row_number() OVER (PARTITION BY simhash ORDER BY k) > 1 AS copy FROM o),
+h AS (SELECT k, simhash FROM f WHERE simhash <> 0 AND NOT copy),
+e AS (SELECT a.k AS w, b.k AS l FROM h a JOIN h b ON a.k < b.k WHERE bit_count(xor(a.simhash, b.simhash)) <= 3),
+n AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM (SELECT w AS k FROM e UNION SELECT l FROM e)),
+-- the pages of near pairs one after another: one goes if a better one of its pairs stays
+s AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS stay
+  UNION ALL SELECT n.i, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.l = n.k AND list_contains(s.stay, e.w)) THEN s.stay ELSE list_append(s.stay, n.k) END FROM s JOIN n ON n.i = s.i + 1),
+z AS (SELECT stay FROM s ORDER BY i DESC LIMIT 1)
+SELECT f.url, f.copy OR (EXISTS (SELECT 1 FROM n WHERE n.k = (SELECT min(g.k) FROM f g WHERE g.simhash = f.simhash) AND f.simhash <> 0) AND NOT list_contains((SELECT stay FROM z), (SELECT min(g.k) FROM f g WHERE g.simhash = f.simhash))) AS is_duplicate FROM f""",
+    "pages_with_signals": """WITH s AS (SELECT url, max(CASE WHEN isnan(quality) THEN 1.0 ELSE CAST(quality AS DOUBLE) END) AS quality, max(is_duplicate) AS dup, max(inbound_domains) AS inbound FROM page_signals GROUP BY url)
 SELECT page_id, round(CAST(coalesce(quality, 1.0) AS DOUBLE), 6) AS quality, coalesce(inbound, 0) AS inbound_domains
 FROM crawled_pages p LEFT JOIN s USING (url) WHERE status = 200 AND NOT coalesce(dup, false) AND CAST(coalesce(quality, 1.0) AS DOUBLE) >= 0.15""",
 }

@@ -77,6 +77,16 @@ def gazetteer_from_dump(lines: DataFrame) -> DataFrame:
     return rows.select(F.explode(names).alias("name"), kind.alias("kind"), "lat", "lon", "population", "country").where("name <> ''")
 
 
+def seeded_gazetteer(base: DataFrame, added: list[DataFrame], authoritative: list[DataFrame]) -> DataFrame:
+    """``base`` with tables that add to a name's places, then tables that replace all of a name's, in their order."""
+    out = base
+    for more in added:
+        out = out.unionByName(more.where("name <> ''"))
+    for better in authoritative:
+        out = merge_gazetteer(out, better)
+    return out
+
+
 def merge_gazetteer(base: DataFrame, authoritative: DataFrame) -> DataFrame:
     """``authoritative`` rows replace all of their name; the others stay."""
     from quern.functions.text import normalise_name

@@ -30,10 +30,30 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """Signals from JSON lines; a malformed line is an error. Of one address the last by all columns counts."""
+    """Signals from JSON lines; a malformed line is an error. Of one address the last line counts, by file name and place."""
     rows = spark.read.schema(SIGNALS).option("mode", "FAILFAST").json(path)
-    by = Window.partitionBy("url").orderBy(F.to_json(F.struct("*")).desc())
-    return rows.withColumn("__r", F.row_number().over(by)).where("__r = 1").drop("__r")
+    rows = rows.withColumn("__f", F.col("_metadata.file_path")).withColumn("__b", F.col("_metadata.file_block_start")).withColumn("__n", F.monotonically_increasing_id())
+    by = Window.partitionBy("url").orderBy(F.col("__f").desc(), F.col("__b").desc(), F.col("__n").desc())
+    return rows.where(F.col("url").isNotNull()).withColumn("__r", F.row_number().over(by)).where("__r = 1").drop("__r", "__f", "__b", "__n")
+
+
+def write_signals(signals: DataFrame, path: str) -> None:
+    """Signals as JSON lines; what was there is replaced."""
+    signals.select("url", "pagerank", "anchor_text", "inbound_domains", "quality", "simhash", "is_duplicate").write.mode("overwrite").json(path)
+
+
+def write_handoff(links: DataFrame, path: str, shards: int, own: int) -> None:
+    """Addresses (url) that belong to other shards, as text, one folder a target shard."""
+    from quern.functions.urls import shard_for_url
+
+    to = links.where("url IS NOT NULL").select("url").distinct().withColumn("target_shard", shard_for_url(F.col("url"), shards))
+    to.where(F.col("target_shard") != own).write.mode("append").partitionBy("target_shard").text(path)
+
+
+def write_table(table: DataFrame, path: str, append: bool = False, partition_by: str | None = None) -> None:
+    """An index, gazetteer, tile or POI table as Parquet: replaced as a whole, or appended to."""
+    writer = table.write.mode("append" if append else "overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:

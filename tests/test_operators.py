@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import evaluation, proximity, ranking, resolver, signals
+from quern.operators import evaluation, places, proximity, ranking, resolver, signals
 from quern.operators.ordered import running_sums
 from quern.operators.places import nearby, upsert_latest
 from quern.sources import geodata, web
@@ -113,20 +113,20 @@ def test_metrics(spark):
 
 
 def test_resolver(spark):
-    t = resolver.tokens_of(F.lit("saint edmunds school shillong"), F.array(F.lit("shillong")))
+    t = resolver.tokens_of(F.lit("saint orwins school brellton"), F.array(F.lit("brellton")))
     row = spark.range(1).select(t.alias("t"), resolver.splits(t).alias("s")).first()
     assert [x.kind for x in row.t] == ["Distinctive", "Distinctive", "Generic", "Place"] and row.s[0].page == []
     hosts = resolver.host_candidates([(x.text, x.forms, x.kind) for x in row.t], ["in", "com"])
-    assert "stedmundshillong.in" in hosts and len(hosts) <= 240
+    assert "storwinsbrellton.in" in hosts and len(hosts) <= 240
     pages = [
-        ("https://stedmunds.in/", "St. Edmund's School, Shillong", "A school in Shillong", 1.0), ("https://news.in/", "Shillong Times", "St. Edmund's School Shillong won", 1.0),
-        ("https://saintedmunds.org/", "Saint Edmunds Church", "An Episcopal church in California", 1.0), (None, None, None, None),
+        ("https://storwins.in/", "St. Orwin's School, Brellton", "A school in Brellton", 1.0), ("https://news.in/", "Brellton Herald", "St. Orwin's School Brellton won", 1.0),
+        ("https://saintorwins.org/", "Saint Orwins Church", "A chapel in another country", 1.0), (None, None, None, None),
     ]
     p = spark.createDataFrame(pages, "url string, title string, body string, quality double")
     s = {r.url: r.s for r in p.select("url", resolver.match_score(t, F.col("title"), F.col("url"), F.col("body")).alias("s")).collect()}
-    assert s["https://stedmunds.in/"] > 0.85 and s["https://news.in/"] < 0.5 and s["https://saintedmunds.org/"] < 0.4 and s[None] == 0
+    assert s["https://storwins.in/"] > 0.85 and s["https://news.in/"] < 0.5 and s["https://saintorwins.org/"] < 0.4 and s[None] == 0
     q = spark.range(1).select(F.lit(1).alias("query_id"), t.alias("tokens"))
-    assert [r.url for r in resolver.resolve(q, p).collect()] == ["https://stedmunds.in/"]
+    assert [r.url for r in resolver.resolve(q, p).collect()] == ["https://storwins.in/"]
     enc = spark.range(1).select(resolver.fragment_url(F.lit("https://a.in/x#y"), F.lit("Customer Service-*~"))).first()[0]
     assert enc == "https://a.in/x#:~:text=Customer%20Service%2D%2A~"
     plan = spark.createDataFrame([('```json {"start_url":"https://a.in","steps":[{"find":"x"},{"find":"y"}]}```',), ('[{"find":"z"}]',), ("no",)], "r string").select(resolver.parse_plan(F.col("r")).alias("p")).collect()
@@ -161,3 +161,62 @@ def test_nearby_and_upsert(spark):
     q = spark.createDataFrame([("q1", "cafes in lalpur", None, None, None), ("q2", "zzzz near me", 10.0, 70.0, 500.0)], "query_id string, query_text string, lat double, lon double, radius_m double")
     got = [(r.query_id, r.id) for r in nearby(spark, poi, gaz, q).orderBy("query_id", "rank").collect()]
     assert got == [("q1", "a"), ("q1", "c")]
+
+
+def test_join_spread(spark, monkeypatch):
+    from quern.operators import skew
+
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 100), (None, 101), (3, 102)], "k int, v int")
+    table = spark.createDataFrame([(1, "a", 50), (2, "b", 1), (None, "c", 1)], "k int, x string, n long")
+    want = {(1, i, "a") for i in range(50)} | {(2, 100, "b")}
+    for part in (1_000, 7):
+        got = skew.join_spread(rows, table, ["k"], "n", "v", part_rows=part)
+        assert got.columns == ["k", "v", "x"] and sorted(map(tuple, got.collect())) == sorted(want)
+        left = skew.join_spread(rows, table, ["k"], "n", "v", "left", part)
+        assert left.count() == 53 and left.where("x IS NULL").count() == 2
+    assert skew.join_spread(rows.limit(0), table, ["k"], "n", "v").count() == 0 and skew.join_spread(rows, table.limit(0), ["k"], "n", "v").count() == 0
+
+
+def test_answers(spark):
+    from quern.operators import answers
+
+    one = lambda *c: tuple(spark.range(1).select(*(x.alias(f"c{i}") for i, x in enumerate(c))).first())
+    d = lambda t, u: answers.title_is_domain(F.lit(t), F.lit(u))
+    assert one(d("Moor-Gate.example", "https://www.moorgate.example/x"), d("Moorgate.example - mills, looms and yarn", "https://moorgate.example"), d("", "https://a.example"), d("x", "no address"), d(None, None)) == (True, False, False, False, False)
+    s = lambda x: answers.shortened(F.lit(x))
+    assert one(s("Prices (all halls)"), s("One two three four five six seven"), s("Read more:"), s("(x)")) == ("Prices", "One two three four five six", "Read more", "(x)")
+    link = lambda t, x: answers.label_link(F.lit("https://a.example/#z"), F.lit(t), F.lit(x))
+    assert one(link("All  our\nPrices here", "Prices (new)"), link("Prices", "Gone"), link("Ends.", "Ends."), link(None, None)) == ("https://a.example/#:~:text=Prices", None, None, None)
+    assert one(answers.display_text(F.lit("abcdef"), 4), answers.display_text(F.lit("abcd"), 4), answers.strip_signs(F.lit("«Hall!»"))) == ("abc…", "abcd", "hall")
+    hosts = spark.createDataFrame([("a.example",), ("b.example",), (None,)], "base string")
+    live = spark.createDataFrame([("blog.a.example",), ("www.b.example",), ("odd.a.example",)], "host string")
+    got = answers.sub_hosts(hosts, spark.createDataFrame([("b.example",)], "host string"), live).collect()
+    assert [tuple(r) for r in got] == [("a.example", "blog.a.example")] and answers.sub_hosts(hosts.limit(0), live, live).count() == 0
+    guessed = spark.createDataFrame([(1, f"g{i:02}.example", 3, i) for i in range(20)] + [(1, "rec.example", 2, 30)], "query_id int, host string, split int, rank int")
+    recorded = spark.createDataFrame([(1, "rec.example", 0)] + [(1, f"r{i:02}.example", i + 1) for i in range(12)], "query_id int, host string, rank int")
+    p = answers.promoted(guessed, recorded)
+    first = p.where("place = 1").first()
+    assert (first.host, first.split, first.recorded) == ("rec.example", 2, True) and p.count() == 33
+    q = spark.createDataFrame([(1, "moor gate")], "query_id int, q string").withColumn("tokens", resolver.tokens_of(F.col("q"), F.array().cast("array<string>")))
+    budget = [r.host for r in answers.fetch_budget(p, q).orderBy("place").collect()]
+    assert len(budget) == 16 and budget[0] == "rec.example" and sum(h.startswith("g") for h in budget) == 6
+    menu = spark.createDataFrame([("u", "Open  hours", 2, "Open hours and more"), ("u", "Open hours", 1, "Open hours and more"), ("u", "ab", 0, "ab"), ("u", None, 3, None)], "url string, label string, place int, page_text string")
+    assert [tuple(r) for r in answers.label_menu(menu).collect()] == [("u", "Open hours", 1)]
+
+
+def test_place_plans(spark):
+    none = spark.createDataFrame([], "tile string, fetched_at long")
+    city = spark.createDataFrame([(10.0, 179.99, 4000.0), (None, 1.0, 4000.0)], "lat double, lon double, radius_m double")
+    todo, plan = places.seed_plan(city, none, 1000, 100, 2)
+    tiles = [r.tile for r in todo.collect()]
+    assert plan.first().seconds == 30 * len(tiles) and {t[0] for t in tiles} == {"x", "8"}  # across the 180th meridian
+    marks = places.mark_fetched(none, spark.createDataFrame([(tiles[0], 950), (tiles[0], 10), (tiles[1], 10)], "tile string, fetched_at long"))
+    assert {r.tile: r.fetched_at for r in marks.collect()} == {tiles[0]: 950, tiles[1]: 10}
+    assert places.seed_plan(city, marks, 1000, 100)[1].first().tiles == len(tiles) - 1
+    with pytest.raises(ValueError):
+        places.search_bounds(float("nan"), 0.0)
+    assert places.search_bounds(1.0, 2.0, 1e9, 0) == (1.0, 2.0, 50_000.0, 1)
+    g = spark.createDataFrame([("Velmora", "city", 1.0, 2.0, 10, ""), ("Ovaldrin", "state", 3.0, 4.0, 10, ""), ("Tess", "village", 1.0, 1.0, 5, "")], "name string, kind string, lat double, lon double, population long, country string")
+    asked = spark.createDataFrame([(1, "Larkspur mill, Velmora!", 0.0, 0.0), (2, "mills Ovaldrin", 0.0, 0.0), (3, "Velmora", 0.0, 0.0), (4, "mills Tess", 0.0, 0.0), (5, "mill near me Velmora", 0.0, 0.0), (6, None, None, None)], "query_id int, q string, lat double, lon double")
+    got = {r.query_id: (r.place, r.subject, r.scope_too_broad) for r in places.embedded_place(asked, g).collect()}
+    assert got[2] == ("Ovaldrin", "mills", True) and set(got) == {1, 2} and got[1][0] == "Velmora"
