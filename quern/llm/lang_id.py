@@ -133,8 +133,8 @@ def fit_profiles(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Profiles
     return profiles
 
 
-def labelled_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, scores): ``decided`` lines with plang, sure, ptext, psure, stored; and ``spam_scores``.
+def labelled_lines(pages: DataFrame, whole: bool) -> DataFrame:
+    """``featured`` lines with plang, sure and, if ``whole``, ptext, psure.
 
     ``plang`` and ``sure``: language and confidence of a paragraph, -1 and 0 elsewhere. ``ptext`` and ``psure``: the
     same of all lines of a page without paragraphs together, on each of its lines: the lines that are
@@ -145,6 +145,8 @@ def labelled_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     def languages(lines: Lines, keep: np.ndarray, paragraphs: np.ndarray, plain: np.ndarray) -> dict[str, np.ndarray]:
         profiles = shared.value
         best, sure = profiles.nearest(lines, paragraphs)
+        if not whole:
+            return {"plang": best[keep], "sure": sure[keep]}
         texts = int(lines.text_of[-1]) + 1 if lines.n else 0
         ptext, psure = np.full(texts, -1, np.int32), np.zeros(texts)
         bare = np.bincount(lines.text_of[paragraphs], minlength=texts) == 0
@@ -157,13 +159,13 @@ def labelled_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ptext[new], psure[new] = got[new], how[new]
         return {"plang": best[keep], "sure": sure[keep], "ptext": ptext[lines.text_of[keep]], "psure": psure[lines.text_of[keep]]}
 
-    lines = stored(decided(featured(pages, languages, "plang int, sure double, ptext int, psure double")))
-    return lines, stored(spam_scores(lines))
+    return featured(pages, languages, "plang int, sure double" + (", ptext int, psure double" if whole else ""))
 
 
 def labelled_paragraphs(pages: DataFrame) -> DataFrame:
     """(page_id, line_no, words, plang, sure): the paragraphs of the articles with their languages; no keyword pages."""
-    lines, scores = labelled_lines(pages)
+    lines = labelled_lines(pages, False)
+    scores = stored(spam_scores(decided(lines.drop("plang", "sure"))))
     return without_spam(lines.where(has(F.col("flags"), PARA) & (F.col("plang") >= 0)).select("page_id", "line_no", "words", "plang", "sure"), scores)
 
 
@@ -208,7 +210,7 @@ def page_labels(pages: DataFrame) -> DataFrame:
     is; another the language of its lines together ("lines"); one without letters a NULL language and
     confidence ("none"). Confidences are means weighted by words. Of several rows of one id all lines count.
     """
-    lines, _ = labelled_lines(pages)
+    lines = labelled_lines(pages, True)
     told = lines.where(has(F.col("flags"), PARA) & (F.col("plang") >= 0)).groupBy("page_id", F.col("plang").alias("k")).agg((F.sum(F.col("sure") * F.col("words")) / F.sum("words")).alias("c"))
     other = lines.where(F.col("ptext") >= 0).groupBy("page_id").agg(F.max(F.struct("psure", "ptext")).alias("x"))
     named = told.select("page_id", "k", "c", F.lit(1).alias("b"))
