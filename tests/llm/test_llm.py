@@ -129,6 +129,30 @@ def test_p5_links_against_brute_force(spark, monkeypatch):
         assert len({of(i) for i in key}) >= len({root(i) for i in key})
 
 
+def test_p5_links_are_all_pairs_of_the_threshold(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    lines = []
+    for _ in range(150):  # the last of 13 words differs: 8 of 10 shingles in common, 4/5 exactly
+        stem = [rnd.choice(words) for _ in range(12)]
+        lines += [" ".join([*stem, end]) for end in rnd.sample(words, 2)]
+        lines.append(" ".join([*stem[:11], "x", "y"]))
+    for _ in range(40):  # many variants of one line, which all hold its shingles
+        lines.append(" ".join([f"w{chr(97 + i)}" for i in range(20)] + rnd.sample(words, rnd.randint(1, 3))))
+    lines = sorted(set(lines))
+    pages = spark.createDataFrame([(i, f"https://site{i % 2}.example/{i}", "t", line, None, "en", 1, 200, None, None) for i, line in enumerate(lines)], PAGE)
+    keyed = site_lines.keyed_lines(pages).cache()
+    forms = keyed.where("bands IS NOT NULL").select("skey", "mkey", F.xxhash64("skey", "mkey").alias("node"), "bands")
+    ids = {r.node: r.page_id for r in keyed.select("page_id", F.xxhash64("skey", "mkey").alias("node")).collect()}
+    shingles = [{tuple(line.split()[j : j + 5]) for j in range(len(line.split()) - 4)} for line in lines]
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 2, len(lines), 2) if 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j])}
+    assert len(want) > 100
+    for crowded in (256, 4):
+        monkeypatch.setattr(site_lines, "CROWDED", crowded)
+        got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in site_lines.similar_forms(pages, keyed, forms).collect()}
+        assert got == want, crowded
+
+
 def test_connected_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(50)], "a long, b long")
     got = {r.node: r.root for r in site_lines.connected(edges).collect()}
