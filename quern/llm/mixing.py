@@ -4,10 +4,10 @@ Soft-membership mixing. Documents with a source belong to it; for the others a n
 hashed words and word shapes, fitted on a bounded sample of labelled rows, gives the posterior of each
 source. Every document has a rate, the expected number of its copies, between 0 and its source's cap.
 Posteriors are whole numbers of GRID parts, so that documents with one posterior have one rate: their
-tokens are summed once over all documents, and what is fitted are these few groups, which do not grow with
-the documents. Rates are fitted by projected gradients: the expected tokens of each source are summed, and
-each rate is moved against the residuals of its sources, weighted by its posterior, and cut back to its
-range, until the residuals are small or no longer change. Rates become whole copies by systematic
+tokens are summed once over all documents, and what is fitted are these groups. A rate is the posterior
+times one weight a source, cut to its range; the weights are fitted by Newton steps on the residuals of the
+sources, with a slight pull to 0 that spreads what the caps leave unreached. All sums are of whole numbers, so that
+neither the split of the groups nor where they are summed changes a rate. Rates become whole copies by systematic
 sampling along source and length, which keeps both shares and lengths.
 """
 
@@ -17,6 +17,7 @@ import re
 import warnings
 import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,11 @@ SAMPLE_DOCS = 500  # labelled documents a source on which the classifier is fitt
 BUCKETS = 1 << 15
 GRID = 64  # parts of a posterior
 TOLERANCE = 1e-6  # of all tokens
-MAX_GROUPS = 200_000  # groups of documents with one posterior that are fitted on the driver; more are fitted in tasks
-ROUNDS = {True: 5_000, False: 100}  # most rounds on the driver and in tasks; a fit that needs more gives a warning
+UNIT = 1_000_000_000  # parts of a rate
+PULLS = [10.0**-i for i in range(2, 10)]  # of a source's tokens a unit of its weight, one fit after another
+STEPS = 16  # parts of a Newton step that are tried at once, each half the one before
+MAX_GROUPS = 200_000  # groups of documents with one posterior that are summed on the driver; more are summed in tasks, with the same sums
+ROUNDS = dict.fromkeys((True, False), 100)  # most rounds, on the driver and in tasks alike; a fit that needs more gives a warning
 LEVEL = 0.002  # error of a source's tokens that is let be
 
 
@@ -124,16 +128,36 @@ def memberships(docs: DataFrame, sources: list[str], model: Classifier | None, v
     return both.select("doc_id", "k", F.element_at(F.array(*map(F.lit, sources)), F.col("k") + 1).alias("source"), "tokens", "parts")
 
 
-def _rates(post: np.ndarray, cap: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
-    """Rates after the given rounds: each moves them by -posterior . move and cuts them to 0 .. cap."""
-    x = np.zeros(len(post))
-    for m in moves:
-        x = np.clip(x - post @ m, 0.0, cap)
-    return x
+def _rates(parts: np.ndarray, cap: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rates in UNITs: the posteriors times the weights, cut to 0 .. cap. The sum is in the sources' order, whatever the rows."""
+    x = np.zeros(len(parts))
+    for j, w in enumerate(weights):
+        x += parts[:, j] * (w / GRID)
+    return np.rint(np.clip(x, 0.0, cap) * UNIT).astype(np.int64)
 
 
-def _posteriors(pdf: pd.DataFrame, width: int) -> np.ndarray:
-    return np.stack(pdf["parts"].to_numpy()) / GRID if len(pdf) else np.zeros((0, width))
+def _parts(pdf: pd.DataFrame, width: int) -> np.ndarray:
+    return np.stack(pdf["parts"].to_numpy()).astype(np.int64) if len(pdf) else np.zeros((0, width), np.int64)
+
+
+def _sums(parts: np.ndarray, tokens: np.ndarray, cap: np.ndarray, tried: list[np.ndarray]) -> dict[tuple[int, int, int], int]:
+    """Whole sums over groups by (trial, row, column), for each trial of weights.
+
+    Row -1: tokens drawn of each source, in parts of GRID and UNIT. Row i: the slope of source i, in parts of GRID squared: tokens of
+    the groups whose rate is not cut. Trial -1: each source's tokens at the caps.
+    """
+    whole = lambda x, y: (int((x * (y >> 16)).sum()) << 16) + int((x * (y & (1 << 16) - 1)).sum())  # noqa: E731 - within 64 bits
+    out = {(-1, -1, j): whole(parts[:, j] * cap, tokens) for j in range(parts.shape[1])}
+    for k, weights in enumerate(tried):
+        x = _rates(parts, cap, weights)
+        free = np.where((x > 0) & (x < cap * UNIT), tokens, 0)
+        for j in range(parts.shape[1]):
+            # rates in two halves, so that products stay within 64 bits
+            high, low = x >> 20, x & (1 << 20) - 1
+            out[k, -1, j] = (whole(parts[:, j] * high, tokens) << 20) + whole(parts[:, j] * low, tokens)
+            for i in range(j + 1):
+                out[k, i, j] = whole(parts[:, i] * parts[:, j], free)
+    return out
 
 
 def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, total: float | None = None, max_groups: int | None = None) -> tuple[DataFrame, float, float]:
@@ -147,63 +171,71 @@ def fit_rates(groups: DataFrame, shares: np.ndarray, caps: np.ndarray, total: fl
     most = MAX_GROUPS if max_groups is None else max_groups
     here = groups.limit(most + 1).count() <= most
     table = groups.select("k", "parts", "tokens").toPandas() if here else None
-    held = (_posteriors(table, width), table["tokens"].to_numpy(dtype=np.float64), caps[table["k"].to_numpy(dtype=np.int64)]) if here else None
-
-    def part_sums(post: np.ndarray, tokens: np.ndarray, cap: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (x * tokens) @ post, (cap * tokens) @ post
-
-    def sums(moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of each source, and its capacity, over groups in tasks."""
-
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            got, room = np.zeros(width), np.zeros(width)
-            for pdf in batches:
-                post, cap = _posteriors(pdf, width), caps[pdf["k"].to_numpy(dtype=np.int64)]
-                more = part_sums(post, pdf["tokens"].to_numpy(dtype=np.float64), cap, _rates(post, cap, moves))
-                got, room = got + more[0], room + more[1]
-            yield pd.DataFrame({"j": np.arange(width), "got": got, "room": room})
-
-        rows = groups.select("k", "parts", "tokens").mapInPandas(part, "j int, got double, room double").groupBy("j").agg(F.sum("got"), F.sum("room")).collect()
-        got, room = np.zeros(width), np.zeros(width)
-        for j, g, r in rows:
-            got[j], room[j] = g or 0.0, r or 0.0
-        return got, room
-
-    x = np.zeros(len(table)) if here else None
-    got, room = part_sums(*held, x) if here else sums([])
+    whole_caps = caps.astype(np.int64)
+
+    def of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _parts(pdf, width), pdf["tokens"].to_numpy(dtype=np.int64), whole_caps[pdf["k"].to_numpy(dtype=np.int64)]
+
+    def sums(tried: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """(tokens at the caps, tokens of each source by trial, slopes by trial)."""
+        if here:
+            found = _sums(*of(table), tried)
+        else:
+
+            def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    got = _sums(*of(pdf), tried)
+                    yield pd.DataFrame([(*key, Decimal(n)) for key, n in got.items()], columns=["t", "i", "j", "n"])
+
+            rows = groups.select("k", "parts", "tokens").mapInPandas(part, "t int, i int, j int, n decimal(38,0)").groupBy("t", "i", "j").agg(F.sum("n")).collect()
+            found = {(t, i, j): int(n) for t, i, j, n in rows}
+        at = lambda t, i, j: found.get((t, min(i, j), max(i, j)), 0)
+        row = lambda t, unit: np.array([at(t, -1, j) / unit for j in range(width)])
+        slopes = [np.array([[at(t, i, j) / GRID**2 for j in range(width)] for i in range(width)]) for t in range(len(tried))]
+        return row(-1, GRID), [row(t, GRID * UNIT) for t in range(len(tried))], slopes
+
+    weights = np.zeros(width)
+    room, (got,), _ = sums([weights])
     possible = (room > 0) & (shares > 0)
     if not possible.any():
         return groups.select("k", "parts", F.lit(0).cast("long").alias("rate")), 0.0, 0.0
     if total is None:
         total = float((room[possible] / shares[possible]).min())
     mass = np.where(room > 0, room / np.maximum(caps, 1e-9), 1.0)  # tokens a unit of rate brings
-    moves: list[np.ndarray] = []
-    last = np.inf
+    wanted = shares * total
+    # from the start in which each source would be given alone; at weight 0 all rates are cut
+    weights = np.where(room > 0, wanted / mass, 0.0)
+    _, (got,), (slope,) = sums([weights])
+    stage = 0
     for _ in range(ROUNDS[here]):
-        residual = np.where(room > 0, got - shares * total, 0.0)
-        error = float(np.abs(residual).max())
-        # near enough, or as near as the caps allow
-        if error <= TOLERANCE * total or float(np.abs(residual - last).max()) <= 1e-3 * TOLERANCE * total:
+        residual = np.where(room > 0, got - wanted, 0.0)
+        if float(np.abs(residual).max()) <= TOLERANCE * total:
             break
-        last = residual
-        if here:
-            x = np.clip(x - held[0] @ (residual / mass), 0.0, held[2])
-            got, _ = part_sums(*held, x)
-        else:
-            moves.append(residual / mass)
-            got, _ = sums(moves)
-    error = float(np.abs(np.where(room > 0, got - shares * total, 0.0)).max()) / total if total > 0 else 0.0
+        # near enough to the least for this pull: on to the next, or as near as the caps allow
+        while stage < len(PULLS) and float(np.abs(residual + PULLS[stage] * mass * weights).max()) <= max(TOLERANCE, PULLS[stage] / 10) * total:
+            stage += 1
+        if stage == len(PULLS):
+            break
+        pull = PULLS[stage] * mass
+        step = -np.linalg.solve(slope + np.diag(pull), residual + pull * weights)
+        # the longest part of the step that does not lead beyond the least along it
+        tried = [weights + step / 2**i for i in range(STEPS)]
+        _, gots, slopes = sums(tried)
+        along = [float((np.where(room > 0, g - wanted, 0.0) + pull * w) @ step) for g, w in zip(gots, tried, strict=True)]
+        first = float((residual + pull * weights) @ step)
+        at = next((i for i, a in enumerate(along) if a <= -1e-3 * first), STEPS - 1)
+        weights, got, slope = tried[at], gots[at], slopes[at]
+    error = float(np.abs(np.where(room > 0, got - wanted, 0.0)).max()) / total if total > 0 else 0.0
     if error > 10 * TOLERANCE:
         warnings.warn(f"the target shares are missed by up to {error:.2%} of {total:.0f} tokens", stacklevel=2)
-    if here:
-        rates = spark.createDataFrame(table[["k", "parts"]].assign(rate=np.rint(x * 1e9).astype(np.int64)), "k int, parts array<int>, rate bigint")
-    else:
 
-        def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rate = _rates(_posteriors(pdf, width), caps[pdf["k"].to_numpy(dtype=np.int64)], moves)
-                yield pdf.assign(rate=np.rint(rate * 1e9).astype(np.int64))
+    def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(rate=_rates(_parts(pdf, width), whole_caps[pdf["k"].to_numpy(dtype=np.int64)], weights))
 
+    if here:
+        rates = spark.createDataFrame(next(rated(iter([table[["k", "parts"]]]))), "k int, parts array<int>, rate bigint")
+    else:
         rates = groups.select("k", "parts").mapInPandas(rated, "k int, parts array<int>, rate bigint")
     return rates, total, error
 

@@ -432,6 +432,20 @@ def test_p9_giants_are_not_left_out_by_size(spark):
     assert in_sum() == mixing.GRID
 
 
+def test_p9_rates_do_not_depend_on_where_groups_are_summed(spark):
+    rnd = np.random.default_rng(3)
+    one = [(j, [64 * int(i == j) for i in range(3)], int(t)) for j, t in enumerate((4_000_000, 900_000, 60_000))]
+    more = [mixing.in_parts(rnd.dirichlet([0.4] * 3)) for _ in range(300)]
+    table = one + [(int(p.argmax()), [int(x) for x in p], int(rnd.integers(1, 5000))) for p in more]
+    groups = spark.createDataFrame(table, "k int, parts array<int>, tokens long").groupBy("k", "parts").agg(F.sum("tokens").alias("tokens"))
+    shares, caps = np.array([0.5, 0.2, 0.3]), np.array([1.0, 2.0, 4.0])
+    for total in (None, 300_000, 20_000_000):  # within reach of the caps or not
+        fits = [mixing.fit_rates(groups.repartition(n), shares, caps, total, most) for n, most in ((1, None), (1, 1), (5, 1))]
+        rates = [{(r.k, tuple(r.parts)): r.rate for r in f[0].collect()} for f in fits]
+        assert rates[0] == rates[1] == rates[2] and len({f[1:] for f in fits}) == 1, total
+        assert total != 300_000 or fits[0][2] <= 1e-6
+
+
 def in_sum():
     return int(mixing.in_parts(np.array([0.333, 0.333, 0.334])).sum())
 
