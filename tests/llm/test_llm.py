@@ -80,6 +80,18 @@ def test_p5_against_brute_force(spark, pages):
     assert site_lines.repeated_lines(pages.limit(0)).count() == 0
 
 
+def test_p5_found_needs_no_clusters(spark, pages, monkeypatch):
+    keyed = site_lines.keyed_lines(pages).cache()
+    found = site_lines.repeated_clusters(pages, keyed).where("df >= 6")
+    want = {(r.page_id, r.line_no) for r in keyed.join(found, ["skey", "wkey"]).collect()}
+
+    def none(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(site_lines, "similar_forms", none)
+    assert want and {(r.page_id, r.line_no) for r in site_lines.repeated_lines(pages).collect()} == want
+
+
 def test_p5_clusters_count_addresses(spark):
     lone = "\n".join(f"Bus 45 leaves {a} at 10:32 and reaches the harbour before noon" for a in PLACES)
     spread = [f"Seen by {a} today, who keeps the harbour and the market" for a in PLACES[:6]]
