@@ -193,7 +193,7 @@ def repetition(lines: Lines, wkey: np.ndarray, own: np.ndarray, words: np.ndarra
         _, first = np.unique(mix(wkey[some] + mix(of[some].astype(U64) + U64(1))), return_index=True)
     again = np.where(counted, number, 0)
     again[some[first]] = 0
-    signs = np.bincount(lines.line_of, weights=among(lines.low, LISTING), minlength=n)
+    signs = np.bincount(lines.line_of[among(lines.low, LISTING)], minlength=n)
     listed = np.where(own & (signs >= 2) & (signs * LIST_WORDS >= number), number, 0)
     return {"top": top, "paired": paired, "again": again, "listed": listed}
 

@@ -231,10 +231,11 @@ def line_features(lines: Lines, titles: list[str], names: np.ndarray, links: lis
     same = (tkey[lines.text_of] == wkey) & (tletters[lines.text_of] >= 3)
     flags[same] |= TITLE
     # addresses, and lines that are a link's text
-    colon = np.flatnonzero((lines.flat[:-2] == 58) & (lines.flat[1:-1] == 47) & (lines.flat[2:] == 47)) if len(lines.flat) > 2 else np.zeros(0, np.int64)
+    colon = np.flatnonzero(lines.flat[:-2] == 58) if len(lines.flat) > 2 else np.zeros(0, np.int64)
+    colon = colon[(lines.flat[colon + 1] == 47) & (lines.flat[colon + 2] == 47)]
     flags[lines.line_of[colon]] |= URLISH
-    bare = np.bincount(lines.line_of, weights=lines.flat == 46, minlength=n)
-    spaces = np.bincount(lines.line_of, weights=(lines.flat == 32), minlength=n)
+    bare = np.bincount(lines.line_of[lines.flat == 46], minlength=n)
+    spaces = np.bincount(lines.line_of[lines.flat == 32], minlength=n)
     words = np.bincount(w["line"], minlength=n)
     flags[inked & (bare >= 1) & (spaces == 0) & (words >= 2) & ~np.isin(last, _STOPS)] |= URLISH
     if links is not None:
