@@ -63,6 +63,11 @@ def test_line_hashes():
     assert Lines([""]).n == 1 and Lines(["😀 ok"]).letters()[1].tolist() == [2]
 
 
+def test_shingles_of_few_words():
+    for text, n in (("", 0), ("one", 1), ("one two", 1), ("one two\nthree", 2)):
+        assert len(Lines([text]).shingles()[0]) == n
+
+
 def test_p5_against_brute_force(spark, pages):
     got = {(r.page_id, r.line_no) for r in site_lines.repeated_lines(pages).collect()}
     addresses, lines = {}, []
