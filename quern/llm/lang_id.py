@@ -38,43 +38,87 @@ def trigrams(lines: Lines, chosen: np.ndarray, group: np.ndarray | None = None,
     none = np.zeros(0, np.int64)
     if not len(use):
         return none, none.astype(U64), none
-    size = w["end"][use] - w["start"][use] + 1  # a space before each word
-    total = int(size.sum())
-    word = np.repeat(np.arange(len(use)), size)
-    offset = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-    chars = np.where(offset == 0, 32, lines.lower[np.maximum(w["start"][use][word] + offset - 1, 0)]).astype(U64)
-    line = w["line"][use][word]
-    line = line if group is None else group[line]
+    start, size = w["start"][use], w["end"][use] - w["start"][use] + 1  # a space before each word
+    at = np.cumsum(size) - size
+    codes = lines.lower[np.arange(int(size.sum())) + np.repeat(start - 1 - at, size)]
+    codes[at] = 32
+    line = np.repeat(w["line"][use] if group is None else group[w["line"][use]], size)
+    # the batch's characters by number, so that text and trigram are one whole number, which sorts fastest
+    present = np.zeros(int(codes.max()) + 1, bool)
+    present[codes] = True
+    letters = np.flatnonzero(present).astype(U64)
+    bits = len(letters).bit_length()
+    char = (np.cumsum(present) - 1)[codes]
     # the space before the next word ends a word as well
-    a, b, c = chars[:-2], chars[1:-1], chars[2:]
-    same = (line[:-2] == line[2:]) & (b != 32)
-    gram = (a[same] << U64(42)) | (b[same] << U64(21)) | c[same]
-    of = line[:-2][same]
+    same = np.flatnonzero((line[:-2] == line[2:]) & (codes[1:-1] != 32))
+    of, gram = line[same], char[same] << 2 * bits | char[same + 1] << bits | char[same + 2]
     if not len(gram):
         return none, none.astype(U64), none
-    key = np.argsort(gram, kind="stable")
-    key = key[np.argsort(of[key], kind="stable")]
-    of, gram = of[key], gram[key]
-    new = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1]))))
-    count = np.diff(np.append(new, len(gram)))
-    of, gram = of[new], gram[new]
-    order = np.lexsort((mix(gram), -count, of))
-    of, gram = of[order], gram[order]
+    if int(of.max()).bit_length() + 3 * bits < 64:
+        both = np.sort(of << 3 * bits | gram)
+        new = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+        of, gram = both[new] >> 3 * bits, both[new] & ((1 << 3 * bits) - 1)
+    else:
+        key = np.lexsort((gram, of))
+        of, gram = of[key], gram[key]
+        new = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1]))))
+        of, gram = of[new], gram[new]
+    count = np.diff(np.append(new, len(same)))
+    low = (1 << bits) - 1
+    gram = letters[gram >> 2 * bits] << U64(42) | letters[gram >> bits & low] << U64(21) | letters[gram & low]
+    gram = gram[_by_count(of, count, mix(gram))]
     first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     rank = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
     keep = rank < PROFILE
     return of[keep], gram[keep], rank[keep]
 
 
+def _by_count(of: np.ndarray, count: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """``np.lexsort((tie, -count, of))`` for hashes ``tie``: one sort of a number that begins with text and count."""
+    most = int(count.max())
+    bits = most.bit_length() + int(of.max()).bit_length()
+    if bits <= 40:
+        key = (of.astype(U64) << U64(most.bit_length()) | (most - count).astype(U64)) << U64(64 - bits) | tie >> U64(bits)
+        order = np.argsort(key)
+        key = key[order]
+        if (key[1:] != key[:-1]).all():
+            return order
+    return np.lexsort((tie, -count, of))
+
+
+def _characters(gram: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The three characters of each trigram."""
+    return tuple((gram >> U64(shift) & U64(0x1FFFFF)).astype(np.int64) for shift in (42, 21, 0))
+
+
 class Profiles:
     """Ranks of trigrams in each language's profile."""
 
     def __init__(self, per_language: dict[int, np.ndarray]):
         self.codes = sorted(per_language)
         self.grams = np.unique(np.concatenate([per_language[k] for k in self.codes])) if self.codes else np.zeros(0, U64)
-        self.ranks = np.full((len(self.grams), len(self.codes)), PROFILE, np.int32)
+        # the last column is for trigrams of no profile; a missing rank is PROFILE or more from any other
+        self.ranks = np.full((len(self.codes), len(self.grams) + 1), 2 * PROFILE, np.int32)
         for j, k in enumerate(self.codes):
-            self.ranks[np.searchsorted(self.grams, per_language[k]), j] = np.arange(len(per_language[k]))
+            self.ranks[j, np.searchsorted(self.grams, per_language[k])] = np.arange(len(per_language[k]))
+        # a trigram's column in two steps: its first two characters' number, then the third
+        a, b, c = _characters(self.grams)
+        self.number = np.zeros(int(max(a.max(), b.max(), c.max())) + 2 if len(a) else 1, np.int64)
+        known = np.unique(np.concatenate((a, b, c)))
+        self.number[known] = np.arange(1, len(known) + 1)
+        self.pairs, self.thirds = np.zeros((len(known) + 1, len(known) + 1), np.int32), np.zeros((1, len(known) + 1), np.int32)
+        if len(a):
+            a, b, c = self.number[a], self.number[b], self.number[c]
+            pair, at = np.unique(a * (len(known) + 1) + b, return_inverse=True)
+            self.pairs.flat[pair] = np.arange(1, len(pair) + 1)
+            self.thirds = np.full((len(pair) + 1, len(known) + 1), len(self.grams), np.int32)
+            self.thirds[at + 1, c] = np.arange(len(self.grams))
+
+    def columns(self, gram: np.ndarray) -> np.ndarray:
+        """Column of each trigram in ``ranks``, the last one for unknown trigrams."""
+        a, b, c = (self.number[np.minimum(x, len(self.number) - 1)] for x in _characters(gram))
+        n = self.pairs.shape[1]
+        return self.thirds.ravel()[self.pairs.ravel()[a * n + b].astype(np.int64) * n + c]
 
     def nearest(self, lines: Lines, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, confidence) of each line; -1 and 0 where not chosen or without trigrams."""
@@ -85,15 +129,14 @@ class Profiles:
         best, sure = np.full(texts, -1, np.int32), np.zeros(texts)
         if not len(of) or not len(self.grams):
             return best, sure
-        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        known = self.grams[at] == gram
-        n = np.bincount(of, minlength=texts)
-        far = np.zeros((texts, len(self.codes)))
-        for j in range(len(self.codes)):
-            r = np.where(known, self.ranks[at, j], PROFILE)
-            far[:, j] = np.bincount(of, weights=np.where(r < PROFILE, np.abs(r - rank), PROFILE), minlength=texts)
-        some = n > 0
-        far = far[some] / (n[some, None] * PROFILE)
+        # the trigrams of a text stand together
+        at, rank = self.columns(gram), rank.astype(np.int32)
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        some, n = of[first], np.diff(np.append(first, len(of)))
+        far = np.empty((len(some), len(self.codes)))
+        for j, ranks in enumerate(self.ranks):
+            far[:, j] = np.add.reduceat(np.minimum(np.abs(ranks[at] - rank), PROFILE), first)
+        far /= n[:, None] * PROFILE
         order = np.argsort(far, axis=1, kind="stable")
         d1 = far[np.arange(len(far)), order[:, 0]]
         d2 = far[np.arange(len(far)), order[:, 1]] if far.shape[1] > 1 else np.ones(len(far))

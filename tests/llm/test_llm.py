@@ -1,6 +1,8 @@
 """Operators of the llm subpackage on small tables with odd rows."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import content, encoding, features, lang_id, mixing, packing, rank_flow, site_lines, value_map
 from quern.llm.languages import declared
-from quern.llm.linecode import Lines
+from quern.llm.linecode import Lines, mix
 
 PAGE = "page_id long, url string, title string, body_text string, links array<struct<url:string,text:string>>, lang string, crawled_at_unix long, status int, skey string, line_no string"
 PLACES = ["Alder", "Birch", "Cedar", "Doveton", "Elmstead", "Fernley", "Garth", "Holt", "Ives", "Jarrow", "Kelso", "Luton"]
@@ -274,6 +276,37 @@ def test_p2(spark, pages):
     assert every[900][0][1] == "lines" and every[900][0][0] is not None
 
 
+def test_p2_trigrams_against_brute_force(monkeypatch):
+    rnd = random.Random(4)
+    alphabet = "abcdeéßकखगாம’"
+    texts = ["\n".join(" ".join("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 6))) for _ in range(rnd.randrange(0, 40))) for _ in range(5)) for _ in range(30)]
+    texts += ["", "a", "Name 12 of it Name", "x" * 3000]
+    lines, split = Lines(texts), [x for t in texts for x in t.split("\n")]
+    whole = lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    ranked = []
+    for x in split:
+        told = "".join(" " + w for w in re.findall(r"[\w’\u0bbe]+", x) if not w.isdigit() and not w[0].isupper())
+        n = Counter(told[i : i + 3] for i in range(len(told) - 2) if told[i + 1] != " ")
+        key = dict(zip(n, mix(np.array([whole(g) for g in n], np.uint64)).tolist(), strict=True))
+        ranked.append([whole(g) for g in sorted(n, key=lambda g: (-n[g], key[g]))][: lang_id.PROFILE])
+    profiles = {k: np.array(ranked[k], np.uint64) for k in (0, 7, 11)}
+    assert all(map(len, profiles.values()))
+    known = lang_id.Profiles(profiles)
+    # trigrams are put in order by whole numbers, not by several sorts
+    with monkeypatch.context() as m:
+        m.setattr(np, "lexsort", lambda *a, **k: pytest.fail("sorted by several keys"))
+        of, gram, rank = lang_id.trigrams(lines, np.ones(lines.n, bool))
+        best, sure = known.place(of, gram, rank, lines.n)
+    assert [gram[of == k].tolist() for k in range(lines.n)] == ranked and all((rank[of == k] == np.arange(len(r))).all() for k, r in enumerate(ranked))
+    for k, r in enumerate(ranked):
+        far = {c: sum(abs(p.tolist().index(g) - i) if g in p else lang_id.PROFILE for i, g in enumerate(r)) / (len(r) * lang_id.PROFILE) for c, p in profiles.items()} if r else {}
+        d = sorted(far.values())
+        assert (best[k], sure[k]) == ((min(far, key=far.get), (d[1] - d[0]) / max(d[1], 1e-9)) if r else (-1, 0))
+    # numbers too large for one sort, and equal keys
+    of, count, tie = np.array([0, 1, 1, 1]) << 45, np.array([3, 1, 1, 2]), np.array([5, 9, 8, 7], np.uint64)
+    assert lang_id._by_count(of, count, tie).tolist() == lang_id._by_count(of >> 45, count, tie).tolist() == [0, 3, 2, 1]
+
+
 def test_declared(spark):
     rows = [("en-IN",), ("Hindi",), ("en, ta",), ("x-default",), (None,), ("",), ("deu",), ("klingon",), ("EN;en_GB",)]
     got = [r[0] for r in spark.createDataFrame(rows, "lang string").select(declared(F.col("lang"))).collect()]
