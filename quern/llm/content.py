@@ -78,17 +78,24 @@ def common_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return common, np.array([mask[int(w)] for w in common], dtype=np.int64), floors
 
 
-def common_hits(words: np.ndarray, masks: np.ndarray, lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(best language, its hits, counted words) of each line."""
+def common_places(words: np.ndarray, lines: Lines) -> np.ndarray:
+    """Place of each word of the lines among the common words, -1 for none."""
+    h = lines.words()["hash"].view(np.int64)
+    if not len(words):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return np.where(words[at] == h, at, -1)
+
+
+def common_hits(known: np.ndarray, masks: np.ndarray, lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best language, its hits, counted words) of each line; ``known``: see ``common_places``."""
     w = lines.words()
     use = ~w["number"]
-    line, h = w["line"][use], w["hash"][use].view(np.int64)
-    n = np.bincount(line, minlength=lines.n)
+    n = np.bincount(w["line"][use], minlength=lines.n)
     best, hits = np.full(lines.n, -1, np.int32), np.zeros(lines.n, np.int64)
-    if len(words) and len(h):
-        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        hit = words[at] == h
-        line, found = line[hit], masks[at[hit]]
+    hit = np.flatnonzero(use & (known >= 0))
+    if len(hit):
+        line, found = w["line"][hit], masks[known[hit]]
         for k in range(len(CODES)):
             c = np.bincount(line[(found >> k) & 1 == 1], minlength=lines.n)
             better = c > hits
@@ -165,16 +172,12 @@ def _copies(page: np.ndarray, key: np.ndarray, texts: int) -> tuple[np.ndarray,
     return n[at], winner[page] == at
 
 
-def repetition(lines: Lines, wkey: np.ndarray, own: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
+def repetition(lines: Lines, wkey: np.ndarray, own: np.ndarray, common: np.ndarray) -> dict[str, np.ndarray]:
     """Per line, words that are the page's top word, stand in repeated pairs, in later copies of a line, or in lists.
 
-    ``words``: sorted hashes of common words, which are no top word; pairs of two of them don't count.
+    ``common``: which words are common ones, which are no top word; pairs of two of them don't count.
     """
     w, of, n, texts = lines.words(), lines.text_of, lines.n, int(lines.text_of[-1]) + 1 if lines.n else 0
-    common = np.zeros(len(w["line"]), bool)
-    if len(words) and len(common):
-        h = w["hash"].view(np.int64)
-        common = words[np.minimum(np.searchsorted(words, h), len(words) - 1)] == h
     use = np.flatnonzero(own[w["line"]] & ~common & ~w["number"]) if len(common) else np.zeros(0, np.int64)
     copies, lead = _copies(of[w["line"][use]], w["hash"][use], texts)
     top = np.bincount(w["line"][use[lead & (copies > 1)]], minlength=n)
@@ -217,7 +220,8 @@ def page_features(part: pd.DataFrame, words: np.ndarray, masks: np.ndarray, floo
     label = ((flags & SEPARATED) != 0) & (prekey != 0)
     some = np.flatnonzero(label)
     label[some] = _member(prekey[some], line_site[some], short)
-    best, hits, counted = common_hits(words, masks, lines)
+    common = common_places(words, lines)
+    best, hits, counted = common_hits(common, masks, lines)
     sentence = (hits > 0) & (hits >= floors[best] * counted)
     ends = (flags & ENDS) != 0
     para = is_long & ends & sentence & ~furniture & ~label & ((flags & (ELLIPSIS | URLISH)) == 0)
@@ -253,7 +257,7 @@ def page_features(part: pd.DataFrame, words: np.ndarray, masks: np.ndarray, floo
         "path": f["path"][keep].view(np.int64), "flags": flags[keep].astype(np.int32), "words": f["words"][keep].astype(np.int32),
         "lang": lang[of[keep]].astype(np.int32),
     }
-    out |= {k: v[keep].astype(np.int32) for k, v in repetition(lines, f["wkey"], plain, words).items()}
+    out |= {k: v[keep].astype(np.int32) for k, v in repetition(lines, f["wkey"], plain, common >= 0).items()}
     if more is not None:
         out |= more(lines, keep, para, plain)
     return pd.DataFrame(out)

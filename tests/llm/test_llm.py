@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import content, encoding, features, lang_id, mixing, packing, rank_flow, site_lines, value_map
+from quern.llm import content, encoding, features, lang_id, linecode, mixing, packing, rank_flow, site_lines, value_map
 from quern.llm.languages import declared
 from quern.llm.linecode import Lines, mix
 
@@ -65,6 +65,42 @@ def test_line_hashes():
     assert Lines([""]).n == 1 and Lines(["😀 ok"]).letters()[1].tolist() == [2]
 
 
+@pytest.mark.parametrize("ahead", [4, 1 << 20])
+def test_lines_against_brute_force(monkeypatch, ahead):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("aBé1٣கाZz’'-– .:😀\n\r") for _ in range(rnd.randrange(0, 90))) for _ in range(60)] + ["", "\n", " \n a", "x" * 500 + "-y"]
+    split = [x.replace("\r", " ") for t in texts for x in t.split("\n")]
+    mixed, tables = [], linecode.tables()
+    monkeypatch.setattr(linecode, "AHEAD", ahead, raising=False)
+    mix_codes = linecode.mix_codes
+    monkeypatch.setattr(linecode, "mix_codes", lambda codes: (mixed.append(len(codes)), mix_codes(codes))[1])
+    lines = Lines(texts)
+    at = features.first_separator(lines)
+    (letters, count), before, w = lines.letters(), lines.letters_before(at), lines.words()
+    # the characters are mixed once, not again for each kind of hash
+    assert len(mixed) == 1 and lines.n == len(split)
+
+    def whole(s):
+        codes = mix_codes(np.array([ord(c.lower()) for c in s], np.uint32)).tolist()
+        total = sum(c * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(codes)) % (1 << 64)
+        return int(mix(np.array([total], np.uint64))[0]) | 1 if s else 0
+
+    is_a = lambda c, kind: bool(tables[kind][min(ord(c), 0xFFFF)])
+    told = lambda s: "".join(c for c in s if is_a(c, "letter"))
+    words = []
+    for k, s in enumerate(split):
+        trimmed = s.strip()
+        assert (letters[k], count[k], lines.inked[k], lines.length[k]) == (whole(told(s)), len(told(s)), sum(not c.isspace() for c in s), len(trimmed) if trimmed else 0)
+        assert before[k] == (whole(told(s[: at[k] - lines.start[k]])) if at[k] >= 0 else 0)
+        if trimmed:
+            assert (lines.first[k], lines.last[k]) == (lines.start[k] + s.index(trimmed), lines.start[k] + s.index(trimmed) + len(trimmed) - 1)
+        words += [(k, x) for x in "".join(c if is_a(c, "word") else " " for c in s).split()]
+    assert w["line"].tolist() == [k for k, _ in words] and w["hash"].tolist() == [whole(x) for _, x in words]
+    some = lambda x, kind: any(is_a(c, kind) for c in x)
+    assert w["number"].tolist() == [all(is_a(c, "digit") for c in x) for _, x in words] and w["other"].tolist() == [some(x, "other") for _, x in words]
+    assert w["capital"].tolist() == [is_a(x[0], "upper") and some(x, "small") for _, x in words] and w["lead_upper"].tolist() == [is_a(x[0], "upper") for _, x in words]
+
+
 def test_shingles_of_few_words():
     for text, n in (("", 0), ("one", 1), ("one two", 1), ("one two\nthree", 2)):
         assert len(Lines([text]).shingles()[0]) == n
