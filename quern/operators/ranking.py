@@ -120,6 +120,15 @@ def upper_median(values: DataFrame, column: str) -> float:
     return float(placed.where(F.col("upto") > n // 2).agg(F.min("v")).first()[0])
 
 
+def signal_parts(median_pagerank: float) -> tuple[Column, Column, Column, Column]:
+    """Parts of PageRank, trust and quality before weights, and the gate, from pagerank, inbound_domains and quality."""
+    q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(F.col("quality").cast("double"), F.lit(1.0)), F.lit(1.0))))
+    pr = F.coalesce(F.nanvl(F.col("pagerank").cast("double"), F.lit(0.0)), F.lit(0.0))
+    half = 4 * median_pagerank if median_pagerank > 0 else 1e-6
+    trust = saturate(F.coalesce("inbound_domains", F.lit(0)).cast("double"), 8.0)
+    return saturate(pr, half), trust, q, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.25 + 0.75 * q))
+
+
 def blend(hits: DataFrame, median_pagerank: float, weights: Weights = Weights(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Adds text, pagerank_boost, trust_boost, quality_boost, gate and blended to scored hits.
 
@@ -128,13 +137,10 @@ def blend(hits: DataFrame, median_pagerank: float, weights: Weights = Weights(),
     as pagerank 0, quality 1, no domains.
     """
     best = F.max("score").over(Window.partitionBy(*by))
-    q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(F.col("quality").cast("double"), F.lit(1.0)), F.lit(1.0))))
-    pr = F.coalesce(F.nanvl(F.col("pagerank").cast("double"), F.lit(0.0)), F.lit(0.0))
-    half = 4 * median_pagerank if median_pagerank > 0 else 1e-6
+    pr, trust, q, gate = signal_parts(median_pagerank)
     parts = hits.withColumn("text", F.when(best > 0, F.col("score") / best).otherwise(0.0)).select(
-        "*", (weights.pagerank * saturate(pr, half)).alias("pagerank_boost"), (weights.trust * saturate(F.coalesce("inbound_domains", F.lit(0)).cast("double"), 8.0)).alias("trust_boost"),
-        (weights.quality * q).alias("quality_boost"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.25 + 0.75 * q)).alias("gate"),
-    )
+        "*", (weights.pagerank * pr).alias("pagerank_boost"), (weights.trust * trust).alias("trust_boost"), (weights.quality * q).alias("quality_boost"), gate.alias("gate")
+    )
     total = (weights.text * F.col("text") + F.col("pagerank_boost") + F.col("quality_boost") + F.col("trust_boost")) * F.col("gate")
     return parts.withColumn("blended", total)
 
