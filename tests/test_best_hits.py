@@ -53,7 +53,7 @@ def best(hits, k):
     return sorted((r.query_id, r["rank"], r.doc, round(r.score, 6), r.strict) for r in ranking.top_k(hits.withColumn("score", F.round("score", 9)), k).collect())
 
 
-@pytest.mark.parametrize(("stem", "common"), [(True, 20)])
+@pytest.mark.parametrize(("stem", "common"), [(False, 20), (True, 20), (False, 10**6), (False, 0)])
 def test_best_hits_are_those_of_all_hits(spark, corpus, monkeypatch, stem, common):
     monkeypatch.setattr(best_hits, "COMMON_DOCS", common)
     monkeypatch.setattr(best_hits, "PAIRS", 50)  # pairs come in blocks
