@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import best_hits, ranking
@@ -61,3 +62,31 @@ def test_best_hits_are_those_of_all_hits(spark, corpus, monkeypatch, stem, commo
     assert best(some, 10) == best(every, 10)
     if common == 20:  # not all hits of all queries
         assert some.count() < every.count() / 3
+
+
+@pytest.mark.parametrize("configs", [ranking.weight_grid(None)], ids=["sweep"])
+def test_blended_best_are_those_of_all_hits(spark, corpus, monkeypatch, configs):
+    monkeypatch.setattr(best_hits, "COMMON_DOCS", 20)
+    some, median = ranking_queries._hits(spark, corpus, [w for _, w in configs])
+    every = all_hits(spark, corpus, False).withColumnRenamed("doc", "url").join(ranking_queries._signals(spark, corpus), "url", "left")
+    w = Window.partitionBy("config", "query_id").orderBy(F.col("b").desc(), "url")
+
+    def top(hits):
+        b = ranking.blend_configs(hits, median, configs).withColumn("b", F.round("blended", 6))
+        return sorted(map(tuple, b.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("config", "query_id", "rank", "url", "b").collect()))
+
+    assert top(some) == top(every)
+    assert some.count() < every.count()
+
+
+def test_front_keeps_all_that_may_be_best():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n, digits in ((3, 6), (500, 6), (2000, 1)):
+        x, y = np.round(r.random(n), digits), np.round(r.random(n) * r.integers(0, 2), digits)
+        keep = best_hits.front(x, y, 5, 1e-3, 1e-6)
+        for a in (0.01, 0.3, 1.0, 7.0):
+            f = a * x + y
+            assert keep[np.sort(f)[::-1][min(5, n) - 1] + 1e-9 < f].all()
+    assert keep.sum() < n / 2
