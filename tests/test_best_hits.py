@@ -90,3 +90,14 @@ def test_front_keeps_all_that_may_be_best():
             f = a * x + y
             assert keep[np.sort(f)[::-1][min(5, n) - 1] + 1e-9 < f].all()
     assert keep.sum() < n / 2
+
+
+
+def test_metrics_of_each_query(spark, corpus, monkeypatch):
+    monkeypatch.setattr(best_hits, "COMMON_DOCS", 20)
+    from quern.operators.evaluation import ranking_metrics
+
+    r = ranking.top_k(all_hits(spark, corpus, False), 10).withColumnRenamed("doc", "url")
+    want = ranking_metrics(r, read_table(spark, corpus, "judgments"), 10)
+    rounded = lambda df: sorted((x.query_id, round(x.ndcg, 6), round(x.rr, 6), round(x.p_at_k, 6), x.weak) for x in df.collect())
+    assert rounded(ranking_queries.ndcg_mrr_p10(spark, corpus)) == rounded(want)
