@@ -64,7 +64,7 @@ def test_best_hits_are_those_of_all_hits(spark, corpus, monkeypatch, stem, commo
         assert some.count() < every.count() / 3
 
 
-@pytest.mark.parametrize("configs", [ranking.ablations(), ranking.weight_grid(None)], ids=["ablation", "sweep"])
+@pytest.mark.parametrize("configs", [[("default", ranking.Weights())], ranking.ablations(), ranking.weight_grid(None)], ids=["blend", "ablation", "sweep"])
 def test_blended_best_are_those_of_all_hits(spark, corpus, monkeypatch, configs):
     monkeypatch.setattr(best_hits, "COMMON_DOCS", 20)
     some, median = ranking_queries._hits(spark, corpus, [w for _, w in configs])
