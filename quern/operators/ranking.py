@@ -168,14 +168,20 @@ def blend_configs(hits: DataFrame, median_pagerank: float, configs: list[tuple[s
 def snippet(body: Column, words: Column, width: int = 30, chars: int = 180) -> Column:
     """The window of words with most query words, these in <b>; else the first characters. HTML is escaped."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  value is computed once, not wherever f names it
+    asked = lambda w: F.array_contains(words, F.lower(F.regexp_replace(w, r"[^\p{L}\p{M}\p{N}]", "")))
+
+    def best(p: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p["ws"]) - width + 1), F.lit(width // 3))
+        return F.array_max(F.transform(starts, lambda s: F.struct(F.aggregate(F.slice(p["hit"], s, width), F.lit(0), lambda a, x: a + x).alias("h"), (-s).alias("s"))))
+
+    def marked(p: Column) -> Column:
+        here = F.transform(F.slice(p["ws"], -p["best"]["s"], width), lambda w: F.when(asked(w), F.concat(F.lit("<b>"), escape(w), F.lit("</b>"))).otherwise(escape(w)))
+        return F.when(p["best"]["h"] > 0, F.array_join(here, " ")).otherwise(escape(F.substring(F.coalesce(body, F.lit("")), 1, chars)))
+
     ws = F.split(F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", " ")), " ")
-    hit = F.transform(ws, lambda w: F.array_contains(words, F.lower(F.regexp_replace(w, r"[^\p{L}\p{M}\p{N}]", ""))).cast("int"))
-    n = F.size(ws)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - width + 1), F.lit(width // 3))
-    scored = F.transform(starts, lambda s: F.struct(F.aggregate(F.slice(hit, s, width), F.lit(0), lambda a, x: a + x).alias("h"), (-s).alias("s")))
-    best = F.array_max(scored)
-    marked = F.transform(F.slice(ws, -best["s"], width), lambda w: F.when(F.array_contains(words, F.lower(F.regexp_replace(w, r"[^\p{L}\p{M}\p{N}]", ""))), F.concat(F.lit("<b>"), escape(w), F.lit("</b>"))).otherwise(escape(w)))
-    return F.when(best["h"] > 0, F.array_join(marked, " ")).otherwise(escape(F.substring(F.coalesce(body, F.lit("")), 1, chars)))
+    parts = once(ws, lambda ws: F.struct(ws.alias("ws"), F.transform(ws, lambda w: asked(w).cast("int")).alias("hit")))
+    return once(parts, lambda p: once(F.struct(p["ws"].alias("ws"), best(p).alias("best")), marked))
 
 
 def parse_query(text: str) -> dict[str, list]:

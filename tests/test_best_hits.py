@@ -92,6 +92,15 @@ def test_front_keeps_all_that_may_be_best():
     assert keep.sum() < n / 2
 
 
+def test_snippets_of_the_best_page(spark, corpus, monkeypatch):
+    monkeypatch.setattr(best_hits, "COMMON_DOCS", 20)
+    top = {r.query_id: r.doc for r in ranking.top_k(all_hits(spark, corpus, False), 1).collect()}
+    df = ranking_queries.snippets(spark, corpus)
+    assert {r.query_id: r.url for r in df.collect()} == top
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    window = plan.index("Window")
+    assert "LeftSemi" in plan[window:]  # texts of other pages are left out before they are moved
+
 
 def test_metrics_of_each_query(spark, corpus, monkeypatch):
     monkeypatch.setattr(best_hits, "COMMON_DOCS", 20)
