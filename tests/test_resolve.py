@@ -15,14 +15,14 @@ def tables(spark):
     r = random.Random(11)
     text = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
     urls = [f"https://{r.choice(['', 'www.', 'lamp.', 'st-'])}{r.choice(['lake', 'oldgarden', 'brellton', 'z'])}{i % 40}.{r.choice(['com', 'co.in'])}/{r.choice(['', '', 'a', 'a/b', 'a/b/c/d'])}" for i in range(300)]
-    rows = [(u, text(3) if i % 9 else None, text(8) if i % 8 else None, r.choice([0.2, 0.9, 0.9, float("nan"), None])) for i, u in enumerate([*dict.fromkeys(urls), "lake garden", "mailto:old"])]
+    rows = [(u, text(3) if i % 9 else None, text(8) if i % 8 else None, r.choice([0.2, 0.9, 0.9, float("nan"), None])) for i, u in enumerate([*dict.fromkeys(urls), "lake garden", "mailto:old"])] + [(None, "lake garden old", "lake", 0.9)]
     asked = [(q, text(r.randrange(1, 5))) for q in range(QUERIES)] + [(QUERIES, ""), (QUERIES + 1, "zzz"), (QUERIES + 2, "lake lake old"), (QUERIES + 3, "st's garden")]
     q = spark.createDataFrame(asked, "query_id long, q string").withColumn("tokens", resolver.tokens_of(F.col("q"), F.array(F.lit("brellton"), F.lit("dunsley"))))
     return q.select("query_id", "tokens"), spark.createDataFrame(rows, "url string, title string, body string, quality double").repartition(3)
 
 
 def all_pairs(queries, fetched, limit):
-    pages = fetched.where(F.coalesce("quality", F.lit(1.0)) >= resolver.QUALITY_FLOOR)
+    pages = fetched.where("url IS NOT NULL").where(F.coalesce("quality", F.lit(1.0)) >= resolver.QUALITY_FLOOR)
     forms = F.flatten(F.transform(F.filter("tokens", lambda t: t["kind"].isin("Distinctive", "Place")), lambda t: t["forms"]))
     met = F.arrays_overlap(forms, F.concat(resolver.word_set(F.col("title")), F.split(F.coalesce(resolver.host_of(F.col("url")), F.lit("")), r"[.\-]")))
     organisation = F.exists("tokens", lambda t: t["text"].isin(resolver.ORGANISATION))
@@ -62,3 +62,8 @@ def test_scores_are_rounded_as_sql_does(spark):
     import numpy as np
 
     assert resolver._rounded(np.array(values)).tolist() == want
+
+
+def test_no_queries_and_no_pages(spark):
+    queries, fetched = tables(spark)
+    assert resolver.resolve(queries.limit(0), fetched).count() == 0 == resolver.resolve(queries, fetched.where("url = ''")).count()
